@@ -11,6 +11,7 @@ from .common import table
 from .decontaminate import contamination
 from .exact import exact_dedup
 from .lines import line_dedup
+from .ngram_join import ngram_jaccard_join
 from .packing import default_vocabulary, pack_documents
 
 
@@ -36,12 +37,17 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents")).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard_join(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_counterfactual_toxicity": op1_counterfactual_toxicity,
     "op2_nnls_packing": op2_nnls_packing,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_exact_dedup": op5_exact_dedup,
     "op8_line_dedup": op8_line_dedup,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
