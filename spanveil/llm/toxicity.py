@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,6 +100,25 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(margins, -50, 50)))
 
 
+def _choose(rows: list[tuple[str, int]], labels: np.ndarray, min_docs: int) -> set[int]:
+    """Hashes of the features whose document counts differ most between the classes, by log-likelihood ratio."""
+    gathered: tuple[list, list] = ([], [])
+    for (text, _), y in zip(rows, labels):
+        found = {xxhash.xxh3_64_intdigest(f) for w in set(words_of(text)) for f in features_of(w)}
+        gathered[int(y)].append(np.fromiter(found, np.uint64, len(found)))
+    (clean, b), (toxic, a) = (np.unique(np.concatenate(g), return_counts=True) for g in gathered)
+    every = np.union1d(clean, toxic)
+    counts = np.zeros((2, len(every)))
+    counts[0, np.searchsorted(every, clean)] = b
+    counts[1, np.searchsorted(every, toxic)] = a
+    often = counts.sum(0) >= min_docs
+    every, counts = every[often], counts[:, often]
+    n = np.array([[len(labels) - labels.sum()], [labels.sum()]])
+    expected = n * counts.sum(0) / len(labels)
+    ratio = (counts * np.log(np.maximum(counts, 1e-9) / expected)).sum(0)
+    return set(every[np.lexsort((every, -ratio))[:FEATURES]].tolist())
+
+
 def fit(rows: list[tuple[str, int]], prior: float, counterfactual: float = 5.0, sparsity: float = 3e-5, rounds: int = 300, min_docs: int = 2) -> Model:
     """Accelerated proximal gradient on logistic loss + L1 + ``counterfactual`` x mean squared score change of swaps.
 
@@ -108,29 +128,37 @@ def fit(rows: list[tuple[str, int]], prior: float, counterfactual: float = 5.0,
     labels = np.array([y for _, y in rows], float)
     if not len(rows) or labels.min() == labels.max():
         return Model({}, float(np.log(max(prior, 1e-9) / max(1 - prior, 1e-9))))
-    held = [features_in(words_of(text)) for text, _ in rows]
-    toxic, clean = Counter(), Counter()
-    for found, y in zip(held, labels):
-        (toxic if y else clean).update(found)
-    n1, n0 = labels.sum(), len(labels) - labels.sum()
-
-    def ratio(f: bytes) -> float:
-        a, b = toxic[f], clean[f]
-        p = (a + b) / (n1 + n0)
-        return sum(k * np.log(k / (n * p)) for k, n in ((a, n1), (b, n0)) if k)
-
-    often = [f for f in toxic.keys() | clean.keys() if toxic[f] + clean[f] >= min_docs]
-    names = sorted(often, key=lambda f: (-ratio(f), f))[:FEATURES]
-    at = {f: i for i, f in enumerate(names)}
-
-    def sparse(groups) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        cells = [(i, at[f], v) for i, g in enumerate(groups) for f, v in sorted(g.items()) if f in at]
-        row, col, value = (np.array([c[k] for c in cells], kind) for k, kind in enumerate((np.int64, np.int64, float)))
-        return row, col, value
-
-    row, col, value = sparse(held)
+    chosen = _choose(rows, labels, min_docs)
+    names, at = [], {}
+    known: dict[bytes, tuple[int, ...]] = {}
+
+    def columns_of(word: bytes) -> tuple[int, ...]:
+        held = known.get(word)
+        if held is None:
+            found = [f for f in features_of(word) if xxhash.xxh3_64_intdigest(f) in chosen]
+            for f in found:
+                if f not in at:
+                    at[f] = len(names)
+                    names.append(f)
+            if len(known) > 200_000:
+                known.clear()
+            held = known[word] = tuple(at[f] for f in found)
+        return held
+
+    rows_at, cols, values = [], [], []
+    for i, (text, _) in enumerate(rows):
+        words = words_of(text)
+        counts: Counter = Counter()
+        for word, k in Counter(words).items():
+            for c in columns_of(word):
+                counts[c] += k
+        rows_at.append(np.full(len(counts), i))
+        cols.append(np.fromiter(counts.keys(), np.int64, len(counts)))
+        values.append(np.fromiter(counts.values(), float, len(counts)) / np.sqrt(len(words) + 10))
+    row, col, value = (np.concatenate(x) for x in (rows_at, cols, values))
     pairs = [pair for text, _ in rows for pair in swaps(text)]
-    swap_row, swap_col, swap_value = sparse(pairs)
+    cells = [(i, at[f], v) for i, pair in enumerate(pairs) for f, v in sorted(pair.items()) if f in at]
+    swap_row, swap_col, swap_value = (np.array([c[k] for c in cells], kind) for k, kind in enumerate((np.int64, np.int64, float)))
     n, m, d = len(rows), max(1, len(pairs)), len(names)
 
     def along(r: np.ndarray, c: np.ndarray, v: np.ndarray, w: np.ndarray, size: int) -> np.ndarray:
@@ -158,7 +186,7 @@ def fit(rows: list[tuple[str, int]], prior: float, counterfactual: float = 5.0,
         after = (1 + np.sqrt(1 + 4 * t * t)) / 2
         ahead, ahead_b = fresh + (t - 1) / after * (fresh - w), fresh_b + (t - 1) / after * (fresh_b - b)
         w, b, t = fresh, fresh_b, after
-    p, q = min(max(prior, 1e-9), 1 - 1e-9), n1 / n
+    p, q = min(max(prior, 1e-9), 1 - 1e-9), labels.mean()
     b += np.log(p / (1 - p)) - np.log(q / (1 - q))
     return Model({f: float(x) for f, x in zip(names, w) if x}, float(b))
 
