@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontaminate import contamination
 from .exact import exact_dedup
+from .fixity import audit, damaged
 from .lines import line_dedup
+from .lm_score import cross_entropy_difference
 from .ngram_join import ngram_jaccard_join
 from .packing import default_vocabulary, pack_documents
 
@@ -38,6 +40,15 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
+#: The fixity drill damages one page in so many.
+DRILL_EVERY = 97
+
+
+def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return audit(pages, damaged(pages, DRILL_EVERY))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents")).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
 
@@ -46,14 +57,22 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op10_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target is what is labelled as of high quality."""
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_counterfactual_toxicity": op1_counterfactual_toxicity,
     "op2_nnls_packing": op2_nnls_packing,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_warc_fixity": op6_warc_fixity,
     "op8_line_dedup": op8_line_dedup,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
+    "op10_cross_entropy_difference": op10_cross_entropy_difference,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -61,6 +80,25 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op6_warc_fixity": f"""
+        WITH replica AS (
+            SELECT page_id, url, CASE WHEN page_id % {DRILL_EVERY} = {DRILL_EVERY // 2} AND length(html) > 0
+                THEN '#' || substr(html, 2) ELSE html END AS html FROM pages),
+        copies AS (SELECT 'a' AS side, page_id, url, html FROM pages UNION ALL SELECT 'b', page_id, url, html FROM replica),
+        records AS (
+            SELECT side, page_id, page_id // 256 AS shard,
+                'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10)
+                || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url
+                || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html)
+                || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) AS record
+            FROM copies),
+        placed AS (
+            SELECT side, page_id, shard, strlen(record) AS length, sha256(record) AS hash,
+                CAST(sum(strlen(record)) OVER (PARTITION BY side, shard ORDER BY page_id) - strlen(record) AS BIGINT) AS at
+            FROM records)
+        SELECT a.page_id, a.shard, a.at AS record_offset, a.length AS record_length, a.hash AS record_sha256,
+            CASE WHEN a.hash <> b.hash THEN 'changed' WHEN a.at <> b.at OR a.length <> b.length THEN 'moved' ELSE 'ok' END AS status
+        FROM placed a JOIN placed b ON a.page_id = b.page_id AND a.side = 'a' AND b.side = 'b'""",
     "op8_line_dedup": """
         WITH split AS (
             SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
