@@ -110,18 +110,21 @@ def index_entries(found: np.ndarray, band: int, segments: int, tolerance: int) -
     return entries.view(np.int64)
 
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = _WordHash()
-    for batch in batches:
-        sizes, names = [], []
-        for text in batch.column(1).cast(pa.binary()):
-            found = shingle_set(text.as_py(), hashes)
-            sizes.append(len(found))
-            names.append(set_digest(found) if len(found) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.int64())], ["doc_id", "n_shingles", "cls"])
+def _measure(shingle: int):
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _WordHash()
+        for batch in batches:
+            sizes, names = [], []
+            for text in batch.column(1).cast(pa.binary()):
+                found = shingle_set(text.as_py(), hashes, shingle)
+                sizes.append(len(found))
+                names.append(set_digest(found) if len(found) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.int64())], ["doc_id", "n_shingles", "cls"])
+
+    return measure
 
 
-def _index(tops: list[int], plans: list[tuple[int, int]]):
+def _index(tops: list[int], plans: list[tuple[int, int]], shingle: int):
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, done = _WordHash(), set()
 
@@ -132,7 +135,7 @@ def _index(tops: list[int], plans: list[tuple[int, int]]):
         for batch in batches:
             entries, names, held = [], [], 0
             for text in batch.column(1).cast(pa.binary()):
-                found = shingle_set(text.as_py(), hashes)
+                found = shingle_set(text.as_py(), hashes, shingle)
                 if not len(found) or (name := set_digest(found)) in done:
                     continue  # equal sets have equal entries: one of them per task is enough
                 if len(done) >= SETS_KEPT:
@@ -201,19 +204,22 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (out_entry, out_cls, out_rank, out_hub)], ["entry", "cls", "rank", "hub"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = _WordHash()
-    for batch in batches:
-        names, found_all = [], []
-        for text, wanted in zip(batch.column(0).cast(pa.binary()), batch.column(1).to_pylist()):
-            found = shingle_set(text.as_py(), hashes)
-            if len(found) and set_digest(found) == wanted:
-                names.append(wanted)
-                found_all.append(found.view(np.int64))
-        if names:
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in found_all])]).astype(np.int32)
-            elements = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found_all)))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), elements], ["cls", "elements"])
+def _sets(shingle: int):
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _WordHash()
+        for batch in batches:
+            names, found_all = [], []
+            for text, wanted in zip(batch.column(0).cast(pa.binary()), batch.column(1).to_pylist()):
+                found = shingle_set(text.as_py(), hashes, shingle)
+                if len(found) and set_digest(found) == wanted:
+                    names.append(wanted)
+                    found_all.append(found.view(np.int64))
+            if names:
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in found_all])]).astype(np.int32)
+                elements = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found_all)))
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), elements], ["cls", "elements"])
+
+    return sets
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -227,7 +233,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.when(fits, 100 * shared >= percent * (sizes - shared)).otherwise(False)).select("a", "b").distinct()
 
 
-def similarity_classes(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+def similarity_classes(
+    docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text"
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documents (doc_id, n_shingles, cls), verified links (a, b) between classes, and roots (a, root) of linked ones.
 
     A class is a distinct shingle set, named by a 64-bit digest. Links between different sets are found hub by
@@ -237,7 +245,7 @@ def similarity_classes(docs: DataFrame, percent: int = PERCENT, id_col: str = "d
     """
     base = id_and_text(docs, id_col, text_col)
     kind = base.schema["doc_id"].dataType.simpleString()
-    members = written(base.mapInArrow(_measure, f"doc_id {kind}, n_shingles bigint, cls bigint"), "members")
+    members = written(base.mapInArrow(_measure(shingle), f"doc_id {kind}, n_shingles bigint, cls bigint"), "members")
     # A histogram over size bands: bounded by the logarithm of the largest set.
     largest = members.agg(F.max("n_shingles")).first()[0] or 1
     tops = band_tops(int(largest), percent)
@@ -247,7 +255,7 @@ def similarity_classes(docs: DataFrame, percent: int = PERCENT, id_col: str = "d
         band = F.when(F.col("n_shingles") > top, k + 1).otherwise(band)
     held = {r["band"]: r["docs"] for r in sizes.groupBy(band.alias("band")).agg(F.sum("count").alias("docs")).collect()}
     plans = [allocation(top, held.get(k, 0) + held.get(k + 1, 0), percent) for k, top in enumerate(tops)]
-    entries = base.mapInArrow(_index(tops, plans), "entry bigint, cls bigint")
+    entries = base.mapInArrow(_index(tops, plans, shingle), "entry bigint, cls bigint")
     groups = written(
         entries.repartition("entry").sortWithinPartitions("entry", "cls").mapInArrow(_groups, "entry bigint, cls bigint, rank bigint, hub bigint"),
         "groups",
@@ -255,7 +263,7 @@ def similarity_classes(docs: DataFrame, percent: int = PERCENT, id_col: str = "d
     wanted = groups.select("cls").distinct()
     named = members.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep")).join(wanted, "cls")
     sets = written(
-        base.join(named, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "cls").mapInArrow(_sets, "cls bigint, elements array<bigint>"), "sets"
+        base.join(named, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "cls").mapInArrow(_sets(shingle), "cls bigint, elements array<bigint>"), "sets"
     )
     pairs = written(groups.where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct(), "pairs")
     tested, links = pairs, written(_verified(pairs, sets, percent), "links")
@@ -278,14 +286,16 @@ def similarity_classes(docs: DataFrame, percent: int = PERCENT, id_col: str = "d
         low, high = high, high * HUB_GROWTH
 
 
-def ngram_jaccard_join(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ngram_jaccard_join(
+    docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (the least id reachable by links).
 
     A null, empty or blank text has no shingles and links with nothing. Rows that repeat an id are one document in
     a component. A null id is larger than any other: it names a component only if all its ids are null. An empty
     table gives no rows; other columns are ignored, whatever their names.
     """
-    members, _, roots = similarity_classes(docs, percent, id_col, text_col)
+    members, _, roots = similarity_classes(docs, percent, shingle, id_col, text_col)
     least = members.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least"))
     rooted = least.join(roots.withColumnRenamed("a", "cls"), "cls", "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -294,9 +304,11 @@ def ngram_jaccard_join(docs: DataFrame, percent: int = PERCENT, id_col: str = "d
     return linked.unionByName(members.where("cls IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
-def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(
+    docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """The rows of ``docs`` whose id names their component, with all their columns."""
-    found = ngram_jaccard_join(docs, percent, id_col, text_col)
+    found = ngram_jaccard_join(docs, percent, shingle, id_col, text_col)
     gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone")).distinct()
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"))
     return packed.join(gone, F.col("d")[id_col] == F.col("gone"), "left_anti").select("d.*")

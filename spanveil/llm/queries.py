@@ -21,6 +21,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 from .passages import repeated_passages
+from .secrets import secret_scan
 from .toxicity import toxicity
 
 
@@ -49,6 +50,10 @@ def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(pages, damaged(pages, DRILL_EVERY))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents")).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
 
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_warc_fixity": op6_warc_fixity,
+    "op7_secret_scan": op7_secret_scan,
     "op8_line_dedup": op8_line_dedup,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_cross_entropy_difference": op10_cross_entropy_difference,
