@@ -26,8 +26,9 @@ PERCENT = 90
 VERIFY_COST, SHARED = 4.0, 0.25
 #: Known words a Python worker keeps hashes of, and sets a task remembers to have indexed.
 WORDS_KEPT, SETS_KEPT = 1_000_000, 1_000_000
-#: In each further round a group gets so many times more hubs.
-HUB_GROWTH = 8
+#: Members of an entry that one task compares by their sketches; a larger entry is worked through hub by hub, and in
+#: each further round has so many times more hubs.
+GROUP_MOST, HUB_GROWTH = 20_000, 8
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -208,20 +209,93 @@ def _sets(shingle: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHash()
         for batch in batches:
-            names, found_all = [], []
+            names, found_all, sketches = [], [], []
             for text, wanted in zip(batch.column(0).cast(pa.binary()), batch.column(1).to_pylist()):
                 found = shingle_set(text.as_py(), hashes, shingle)
                 if len(found) and set_digest(found) == wanted:
                     names.append(wanted)
                     found_all.append(found.view(np.int64))
+                    sketches.append(odd_sketch(found))
             if names:
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in found_all])]).astype(np.int32)
                 elements = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found_all)))
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), elements], ["cls", "elements"])
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), elements, pa.array(sketches, pa.binary())], ["cls", "elements", "sketch"])
 
     return sets
 
 
+def odd_sketch(found: np.ndarray) -> bytes:
+    """One bit for each residue of the hashes: set if an odd number of elements has it.
+
+    Two sketches differ in no more bits than their sets in elements. The number of bits is a power of two near the
+    set's size; folding halves upon each other gives the sketch of half as many.
+    """
+    bits = max(256, 1 << (len(found) - 1).bit_length())
+    odd = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _near_pairs(percent: int):
+    """From rows sorted by entry (entry, cls, root, n, sketch): pairs of different components that may be similar.
+
+    A pair is left out only if its sizes, or the bits in which its sketches differ, prove it too far apart.
+    """
+
+    def pairs_of(cls: np.ndarray, root: np.ndarray, n: np.ndarray, sketches: list[bytes]) -> list[np.ndarray]:
+        width = min(map(len, sketches))
+        rows = np.empty((len(cls), width), np.uint8)
+        for i, sketch in enumerate(sketches):
+            bits = np.frombuffer(sketch, np.uint8)
+            while len(bits) > width:
+                bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+            rows[i] = bits
+        rows = rows.view(np.uint64)
+        # Members of the largest component need no test against each other: the others are tested against all.
+        _, which, counts = np.unique(root, return_inverse=True, return_counts=True)
+        order = np.lexsort((which, -counts[which]))
+        cls, root, n, rows = cls[order], root[order], n[order], rows[order]
+        first = int((root == root[0]).sum())
+        found = []
+        for i in range(first, len(cls)):
+            apart = np.flatnonzero(root[:i] != root[i])
+            sizes = n[apart] + n[i]
+            # Similar sets with s elements together (shared ones twice) differ in d of them: 100 (s - d) >= percent (s + d).
+            most = sizes * (100 - percent) // (100 + percent)
+            apart = apart[np.abs(n[apart] - n[i]) <= most]
+            most = (n[apart] + n[i]) * (100 - percent) // (100 + percent)
+            differ = np.bitwise_count(rows[apart] ^ rows[i]).sum(1, dtype=np.int64)
+            near = apart[differ <= most]
+            if len(near):
+                found.append(np.stack([np.minimum(cls[near], cls[i]), np.maximum(cls[near], cls[i])]))
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            whole = pa.Table.from_batches(held)
+            cls, root, n = (whole.column(k).to_numpy() for k in (1, 2, 3))
+            found = pairs_of(cls, root, n, whole.column(4).to_pylist()) if len(cls) > 1 else []
+            if found:
+                a, b = np.concatenate(found, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            entry = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(entry[1:] != entry[:-1]) + 1).tolist(), len(entry)]
+            for start, end in zip(cuts[:-1], cuts[1:]):
+                if start == end:
+                    continue
+                if held and held[-1].column(0)[0].as_py() != int(entry[start]):
+                    yield from finish()
+                    held = []
+                held.append(batch.slice(start, end - start))
+        if held:
+            yield from finish()
+
+    return run
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough. Both joins are plain equi-joins, which adaptive execution splits."""
     one = sets.select(F.col("cls").alias("a"), F.col("elements").alias("x"))
@@ -239,9 +313,10 @@ def similarity_classes(
     """Documents (doc_id, n_shingles, cls), verified links (a, b) between classes, and roots (a, root) of linked ones.
 
     A class is a distinct shingle set, named by a 64-bit digest. Links between different sets are found hub by
-    hub: first each entry's least member is verified against the others; entries whose members then lie in more
-    than one component get more hubs, verified against members of other components only, until none is left. No
-    pair whose link could join two components stays untested, so components are exact.
+    hub: first the member of an entry that shares most entries is verified against its others. In entries whose members then lie
+    in more than one component, members of different components are compared by sketches that bound their difference from
+    below, and whatever may be similar is verified. No pair whose link could join two components stays untested, so
+    components are exact; links inside a component need not be complete.
     """
     base = id_and_text(docs, id_col, text_col)
     kind = base.schema["doc_id"].dataType.simpleString()
@@ -263,26 +338,40 @@ def similarity_classes(
     wanted = groups.select("cls").distinct()
     named = members.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep")).join(wanted, "cls")
     sets = written(
-        base.join(named, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "cls").mapInArrow(_sets(shingle), "cls bigint, elements array<bigint>"), "sets"
+        base.join(named, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "cls").mapInArrow(_sets(shingle), "cls bigint, elements array<bigint>, sketch binary"), "sets"
     )
-    pairs = written(groups.where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct(), "pairs")
-    tested, links = pairs, written(_verified(pairs, sets, percent), "links")
-    low, high = 1, 1 + HUB_GROWTH
+    # The first hub of an entry is the member that shares most entries: the middle of a family of copies.
+    shares = groups.groupBy("cls").agg(F.count("*").alias("shares"))
+    hubs = groups.select("entry", "cls").join(shares, "cls").groupBy("entry").agg(F.max_by("cls", F.struct("shares", "cls")).alias("hub"))
+    starred = groups.select("entry", "cls").join(hubs, "entry").where("cls <> hub")
+    pairs = written(starred.select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct(), "pairs")
+    links = written(_verified(pairs, sets, percent), "links")
+
+    def open_entries(roots: DataFrame, members_of: str) -> DataFrame:
+        """Members, with their components, of entries that still hold more than one component."""
+        placed = groups.join(roots.withColumnRenamed("a", "cls"), "cls", "left").select("entry", "cls", "rank", F.coalesce("root", "cls").alias("root"))
+        split = placed.groupBy("entry").agg(F.min("root").alias("least"), F.max("root").alias("most"), (F.max("rank") + 1).alias("size"))
+        return placed.join(split.where("least < most").where(members_of).select("entry"), "entry")
+
+    roots = components(links)
+    sketched = open_entries(roots, f"size <= {GROUP_MOST}").select("entry", "cls", "root").join(sets.select("cls", F.size("elements").cast("long").alias("n"), "sketch"), "cls")
+    near = (
+        sketched.select("entry", "cls", "root", "n", "sketch").repartition("entry").sortWithinPartitions("entry")
+        .mapInArrow(_near_pairs(percent), "a bigint, b bigint").distinct()
+    )
+    links = written(links.unionByName(_verified(written(near, "pairs"), sets, percent)).distinct(), "links")
+    # Entries too large for one task's memory get more and more hubs instead, until no component can join another.
+    tested, low, high = pairs, 0, HUB_GROWTH
     while True:
         roots = components(links)
-        placed = groups.join(roots.withColumnRenamed("a", "cls"), "cls", "left").select("entry", "cls", "rank", F.coalesce("root", "cls").alias("root"))
-        split = (
-            placed.groupBy("entry").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.max("rank").alias("end"))
-            .where((F.col("least") < F.col("most")) & (F.col("end") > low)).select("entry")
-        )
-        open_ = written(placed.join(split, "entry"), "open")
+        open_ = written(open_entries(roots, f"size > {GROUP_MOST} AND size > {low}"), "open")
         if open_.isEmpty():
             return members, links, roots
         hubs = open_.where((F.col("rank") >= low) & (F.col("rank") < high)).select("entry", F.col("cls").alias("a"), F.col("rank").alias("at"), F.col("root").alias("of"))
-        pairs = hubs.join(open_, "entry").where((F.col("rank") > F.col("at")) & (F.col("root") != F.col("of"))).select("a", F.col("cls").alias("b")).distinct()
-        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.unionByName(pairs)
-        links = written(links.unionByName(_verified(pairs, sets, percent)).distinct(), "links")
+        more = hubs.join(open_, "entry").where((F.col("rank") > F.col("at")) & (F.col("root") != F.col("of"))).select("a", F.col("cls").alias("b")).distinct()
+        more = written(more.join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = tested.unionByName(more)
+        links = written(links.unionByName(_verified(more, sets, percent)).distinct(), "links")
         low, high = high, high * HUB_GROWTH
 
 
