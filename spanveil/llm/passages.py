@@ -78,11 +78,13 @@ def repeated_passages(
     """
     found = written(units(docs, unit, id_col, text_col), "units")
     place = F.struct("doc_id", "row_hash", "unit")
-    first = (
+    first = written(
         found.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-        .where(F.col("first") < F.col("last")).select("digest", "first")
+        .where(F.col("first") < F.col("last")).select("digest", "first"),
+        "first-places",
     )
-    # A plain equi-join: adaptive execution splits a digest that a third of all documents hold.
+    # Both sides come from tables, so that the join deals them itself: adaptive execution then splits the partition
+    # of a digest that a third of all documents hold.
     repeats = found.join(first, "digest").where(place > F.col("first")).select("doc_id", "row_hash", "unit", "start", "end", "words", F.col("first.doc_id").alias("keep_id"))
     by_doc = W.partitionBy("doc_id", "row_hash").orderBy("unit")
     runs = repeats.distinct().withColumn("run", F.col("unit") - F.row_number().over(by_doc))
