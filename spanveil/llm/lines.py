@@ -129,7 +129,8 @@ def line_dedup(
     for k in range(batches):
         index.add(postings.where(F.col("batch") == k))
     index.compact(everything=True)
-    drop = index.runs()[0].where(F.col("n") >= min_docs).select("key", "top")
+    # Out of the buckets, so that the join deals both sides itself and adaptive execution can split a hot key.
+    drop = written(index.runs()[0].where(F.col("n") >= min_docs).select("key", "top"), "dropped-keys")
     # Per document, the distinct keys it loses: no more than it has lines.
     lost = (
         postings.join(drop, "key")
