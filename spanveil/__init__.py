@@ -1 +1,8 @@
 """Spark-native detection, pseudonymisation and scoring of personal data in text."""
+
+import sys
+
+from pyspark import cloudpickle
+
+#: Executors need not have this package installed: its functions travel with the job.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
