@@ -19,6 +19,8 @@ def _translate(pattern: str, spaces: str, boundary: str, end: str) -> str:
             pair = pattern[i : i + 2]
             if pair == r"\s":
                 out.append(spaces if in_class else f"[{spaces}]")
+            elif pair == r"\S" and not in_class:
+                out.append(f"[^{spaces}]")
             elif pair == r"\b" and not in_class:
                 out.append(boundary)
             elif pair == r"\/":

@@ -10,9 +10,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .dialect import java
+
 MAX_CHARS = 1_000_000
-MARK_OPEN = ""
-ZERO_WIDTH = "​‌‍﻿⁠­"
+MARK_OPEN = "\ue000\ue001"
+ZERO_WIDTH = "\u200b\u200c\u200d\ufeff\u2060\u00ad\ue000\ue001"
 
 
 def escape_placeholders(text: Column) -> Column:
@@ -27,11 +29,12 @@ def strip_zero_width(text: Column) -> Column:
     return F.translate(text, ZERO_WIDTH, "")
 
 
-WORD = r"[A-Za-z0-9_]+(?:[-_][A-Za-z0-9_]+)*|[^\s   -     　﻿\x0B]"
+#: ASCII words with inner hyphens, and every other visible character by itself.
+WORD_SPEC = r"\w+(?:[-_]\w+)*|\S"
+WORD = java(WORD_SPEC)
 
 
 def words(text: Column) -> Column:
-    """ASCII words with inner hyphens, and every other visible character by itself."""
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -120,7 +121,6 @@ def per_document(spans: DataFrame, fold) -> DataFrame:
 
     The fold sees one document's spans at a time, in Arrow batches of documents.
     """
-    import pandas as pd
 
     kind = "array<struct<start:int,end:int,label:string,score:double>>"
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,7 +63,6 @@ def partial_key(text: str, mark: re.Match) -> tuple[int, int] | None:
 
 def partial_keys(docs: DataFrame) -> DataFrame:
     """(doc_id, start, end) of keys with one mark; only texts with a mark reach Python."""
-    import pandas as pd
 
     @F.pandas_udf("array<struct<start:int,end:int>>")
     def walk(texts: pd.Series) -> pd.Series:

@@ -105,7 +105,8 @@ def item_cover(items: DataFrame, predicted: DataFrame, texts: DataFrame) -> Data
     on = (F.col("doc_id") == F.col("_id")) & (F.col("_s") < F.col("end")) & (F.col("start") < F.col("_e"))
     rows = items.join(texts.select("doc_id", "text"), "doc_id").join(c, on, "left")
     plain = lambda cell: F.length(F.regexp_replace(cell, r"[^\p{L}\p{N}]", ""))
-    part = F.expr("substring(text, greatest(start, _s) + 1, least(end, _e) - greatest(start, _s))")
+    # An item that no span touches has none: greatest and least would skip the nulls.
+    part = F.expr("CASE WHEN _s IS NOT NULL THEN substring(text, greatest(start, _s) + 1, least(end, _e) - greatest(start, _s)) END")
     return rows.groupBy(*items.columns).agg(
         F.first(plain(F.expr("substring(text, start + 1, end - start)"))).alias("chars"), F.coalesce(F.sum(plain(part)), F.lit(0)).alias("masked_chars")
     )

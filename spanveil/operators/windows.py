@@ -2,26 +2,40 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import MAX_CHARS, WORD
-from .detect import matches
+from ..functions.text import MAX_CHARS, WORD_SPEC
 
 # Words of a window, words shared by neighbours, widest span, characters shared by segments.
 WINDOW, OVERLAP, MAX_WIDTH, SEGMENT_OVERLAP = 140, 30, 12, 32_768
 
 
 def word_windows(docs: DataFrame, size: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
-    """(doc_id, window, start, end, n_words): windows of words by stride; each reaches up to its last word's end."""
-    found = docs.select("doc_id", matches(F.col("text"), WORD).alias("w")).where(F.size("w") > 0)
+    """(doc_id, window, start, end, n_words): windows of words by stride; each reaches up to its last word's end.
+
+    Places are found in one pass over a text in Arrow batches; a text without words has no window.
+    """
+
+    word = re.compile(WORD_SPEC.replace(r"\S", r"[^\s\ufeff]"), re.ASCII)
     stride = size - overlap
-    last = F.greatest(F.ceil((F.size("w") - size) / stride), F.lit(0)).cast("int")
-    rows = found.select("doc_id", "w", F.explode(F.sequence(F.lit(0), last)).alias("window"))
-    upto = F.least((F.col("window") * stride + size), F.size("w"))
-    return rows.select(
-        "doc_id", "window", F.get("w", F.col("window") * stride)["start"].alias("start"), F.get("w", upto - 1)["end"].alias("end"), (upto - F.col("window") * stride).alias("n_words")
-    )
+
+    @F.pandas_udf("array<struct<window:int,start:int,end:int,n_words:int>>")
+    def cut(texts: pd.Series) -> pd.Series:
+        def one(text: str | None) -> list[dict]:
+            at = [m.span() for m in word.finditer(text or "") if not m.group().isspace()]
+            found = []
+            for k in range(max(0, -(-(len(at) - size) // stride)) + 1 if at else 0):
+                part = at[k * stride : k * stride + size]
+                found.append({"window": k, "start": part[0][0], "end": part[-1][1], "n_words": len(part)})
+            return found
+
+        return texts.map(one)
+
+    return docs.select("doc_id", F.explode(cut("text")).alias("w")).select("doc_id", "w.*")
 
 
 def candidates(n_words: Column, width: int = MAX_WIDTH) -> Column:
@@ -54,7 +68,6 @@ def segment(text: str, most: int = MAX_CHARS, overlap: int = SEGMENT_OVERLAP) ->
 
 def segments(docs: DataFrame, most: int = MAX_CHARS, overlap: int = SEGMENT_OVERLAP) -> DataFrame:
     """(doc_id, start, end, text) of segments; only texts over the limit reach Python."""
-    import pandas as pd
 
     @F.pandas_udf("array<struct<start:int,end:int>>")
     def cut(texts: pd.Series) -> pd.Series:
