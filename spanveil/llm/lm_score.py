@@ -117,7 +117,8 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str
     """
     base = id_and_text(docs, id_col, text_col)
     wanted = target_ids.toDF("wanted").where("wanted IS NOT NULL").distinct().withColumn("chosen", F.lit(True))
-    flagged = base.join(wanted, F.col("doc_id") == F.col("wanted"), "left").select("text", F.coalesce("chosen", F.lit(False)).alias("chosen"))
+    # A merge join at every size: the ids of the target grow with the corpus.
+    flagged = base.join(wanted.hint("merge"), F.col("doc_id") == F.col("wanted"), "left").select("text", F.coalesce("chosen", F.lit(False)).alias("chosen"))
     counts = flagged.mapInArrow(_count, "code int, background bigint, target bigint").groupBy("code").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
     held = counts.toArrow().sort_by("code")
     codes, background, target = (held.column(k).to_numpy() for k in range(3))
