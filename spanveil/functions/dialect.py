@@ -62,4 +62,4 @@ def re2_able(pattern: str) -> bool:
 
     if any(x in pattern for x in ("(?<=", "(?<!", "(?=", "(?!", r"\1")):
         return False
-    return all(int(n) <= 1000 for n in re.findall(r"[{,](\d+)[,}]", pattern))
+    return all(int(n) <= 1000 for n in re.findall(r"[{,](\d+)(?=[,}])", pattern))

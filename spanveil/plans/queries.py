@@ -159,10 +159,10 @@ def token_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
     WITH w AS ({matches_sql(WORD_RE2, 'documents')}),
-    n AS (SELECT doc_id, max(i) AS n FROM w GROUP BY doc_id),
-    k AS (SELECT doc_id, n, unnest(range(0, CAST(greatest(ceil((n - 140) / 110.0), 0) AS BIGINT) + 1)) AS "window" FROM n)
-    SELECT k.doc_id, k."window", CAST(min(w.start) AS BIGINT) AS "start", CAST(max(w.finish) AS BIGINT) AS "end", count(*) AS n_words
-    FROM k JOIN w ON k.doc_id = w.doc_id AND w.i > k."window" * 110 AND w.i <= k."window" * 110 + 140 GROUP BY 1, 2""")
+    n AS (SELECT doc_id, greatest(ceil((max(i) - 140) / 110.0), 0) AS last FROM w GROUP BY doc_id),
+    k AS (SELECT doc_id, start, finish, unnest([(i - 1) // 110, (i - 1) // 110 - 1]) AS "window", i FROM w)
+    SELECT k.doc_id, k."window", CAST(min(k.start) AS BIGINT) AS "start", CAST(max(k.finish) AS BIGINT) AS "end", count(*) AS n_words
+    FROM k JOIN n USING (doc_id) WHERE k."window" BETWEEN 0 AND last AND k.i <= k."window" * 110 + 140 GROUP BY 1, 2""")
 def word_windows(spark: SparkSession, d: str) -> DataFrame:
     return windows.word_windows(docs_of(spark, d))
 

@@ -1,0 +1,93 @@
+import hashlib
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from spanveil.functions import validators as V
+from spanveil.functions.dialect import java
+from spanveil.operators import filters, urls
+from spanveil.operators.detect import detect, raw_spans
+from spanveil.operators.pack import BY_ID, PACK, Recognizer, chosen, extended
+
+CASES = {
+    "luhn": [("4111 1111 1111 1111", True), ("4111 1111 1111 1112", False), ("123", False)],
+    "iban": [("DE89 3704 0044 0532 0130 00", True), ("DE88 3704 0044 0532 0130 00", False), ("GB82WEST12345698765432", True)],
+    "cpf": [("529.982.247-25", True), ("529.982.247-26", False), ("111.111.111-11", False)],
+    "codice_fiscale": [("RSSMRA85T10A562S", True), ("RSSMRA85T10A562T", False), ("RSSMRA85T10a562S", False)],
+    "partita_iva": [("IT00743110157", True), ("IT00743110158", False), ("12345678903", False), ("00000000000", False)],
+    "mac": [("00:1a:2b:3c:4d:5e", True), ("ff:ff:ff:ff:ff:ff", False), ("01:00:5e:01:02:03", False)],
+    "vin": [("1M8GDM9AXKP042788", True), ("1M8GDM9A1KP042788", False)],
+    "lat_lon": [("40.7128, -74.0060", True), ("91.00, 10.00", False), ("0.00, 0.00", False)],
+    "basic": [("dXNlcjpwYXNz", True), ("bm9jb2xvbg==", False)],
+    "userinfo": [("hunter22", True), ("${PASS}", False), ("changeme", False), ("****", False)],
+    "letter_digit": [("a1", True), ("aa", False)],
+}
+
+
+@pytest.mark.parametrize("name", CASES)
+def test_checks(spark, name):
+    rows = spark.createDataFrame(CASES[name], "v string, ok boolean").withColumn("got", V.CHECKS[name](F.col("v")))
+    assert [(r.v, r.got) for r in rows.collect()] == CASES[name]
+
+
+def test_base58():
+    assert V.base58check_value("1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa") and not V.base58check_value("1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNb")
+
+
+def test_pack_is_whole_and_compiles(spark):
+    assert len(PACK) == 115 and len(BY_ID) == 115
+    text = spark.range(1).select(F.lit("nothing here").alias("t"))
+    for r in PACK:
+        text = text.withColumn("n", F.regexp_count("t", F.lit(r.java or java(r.pattern, r.ignore_case))))
+    assert text.first().n == 0
+
+
+def test_spans_are_exact_code_points(spark):
+    line = "é😀 mail bob@corp.org, 81.2.69.142 und +49 30 1234567 ghp_" + "a1" * 18
+    got = {r.recognizer: (r.value, r.start, r.end) for r in raw_spans(spark.createDataFrame([(1, line), (2, None), (3, "")], "doc_id long, text string")).collect()}
+    for value, start, end in got.values():
+        assert line[start:end] == value
+    assert {"core:email", "core:ipv4", "core:phone-international", "core:github-pat-classic"} <= set(got)
+
+
+def test_long_key_does_not_exhaust_the_stack(spark):
+    key = "-----BEGIN RSA PRIVATE KEY-----\n" + "Ab1+" * 30_000 + "\n-----END RSA PRIVATE KEY-----"
+    got = detect(spark.createDataFrame([(1, key)], "doc_id long, text string"), chosen("pem-private-key")).collect()
+    assert [(r.start, r.end) for r in got] == [(0, len(key))]
+
+
+def test_never_personal_and_covered_by_the_model(spark):
+    docs = spark.createDataFrame([(1, "10.0.0.1 81.2.69.142 x@mail.example.com a@corp.org")], "doc_id long, text string")
+    assert {r.value for r in detect(docs, chosen("ipv4", "email")).collect()} == {"81.2.69.142", "a@corp.org"}
+    model = spark.createDataFrame([(1, 0, 30)], "doc_id long, start int, end int")
+    assert {r.value for r in detect(docs, chosen("ipv4", "email"), model).collect()} == {"a@corp.org"}
+
+
+def test_own_recognizer(spark):
+    mine = Recognizer("own:badge", "account_number", 0.9, r"\bB-\d{4}\b", gate=("B-",))
+    assert len(extended(PACK, mine)) == 116
+    assert [r.value for r in detect(spark.createDataFrame([(1, "B-1234 XB-9999")], "doc_id long, text string"), [mine]).collect()] == ["B-1234"]
+
+
+def test_url_policy(spark):
+    with pytest.raises(ValueError):
+        urls.policy({"localhost": "full"})
+    table = urls.policy({"*.example.com": "host", "deep.example.com": "mask"})
+    cases = [
+        ("https://github.com/a?b=1", 24), ("https://api.github.com", 22), ("https://evil.org/x", 0), ("https://a.example.com/path", 21), ("https://deep.example.com/p", 0),
+        ("https://u:p@github.com/", 0), ("https://github.com/?token=1", 0), ("https://github.com/?u=http://evil.org", 0), ("www.github.com/a)", 17),
+    ]
+    rows = spark.createDataFrame(cases, "u string, n int").withColumn("got", urls.readable(F.col("u"), table))
+    assert [(r.u, r.got) for r in rows.collect()] == cases
+
+
+def test_filters(spark):
+    text = "api_key=123e4567-e89b-12d3-a456-426614174000 x 123e4567-e89b-12d3-a456-426614174000"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    spans = spark.createDataFrame([(1, "account_number", m.start(), m.end(), m.group()) for m in re.finditer("123e[0-9a-f-]+", text)], "doc_id long, label string, start int, end int, value string")
+    assert [(r.label, r.start) for r in filters.resolve_uuids(spans, docs).collect()] == [("secret", 8)]
+    log = spark.createDataFrame([(1, "2024-01-02 03:04:05 INFO born 2024-01-02")], "doc_id long, text string")
+    dates = spark.createDataFrame([(1, "private_date", 0, 10), (1, "private_date", 30, 40)], "doc_id long, label string, start int, end int")
+    assert [r.start for r in filters.drop_log_stamps(dates, log).collect()] == [30]
+    assert hashlib.sha256(b"").hexdigest()[:4] == "e3b0"
