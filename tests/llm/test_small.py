@@ -1,0 +1,364 @@
+"""Each operator on small tables against brute force, and on the awkward cases its docstring defines."""
+
+import hashlib
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from spanveil.llm import decontaminate, exact, fixity, lines, lm_score, ngram_join, nnls, packing, passages, secrets, toxicity
+from spanveil.llm.cuckoo import CuckooIndex
+from spanveil.llm.fmindex import FMIndex
+
+LONG = "this is a line of more than forty characters, said {} times"
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
+
+
+def documents(spark, rows):
+    """Extra columns whose names clash with the operators' own."""
+    return spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(7) for c in ("n", "digest", "keep_id", "kept", "lost", "cls", "d", "text_sha256")})
+
+
+@pytest.fixture
+def odd(spark):
+    """Nulls, empty and blank texts, repeats, ties."""
+    return documents(spark, [(1, None), (2, ""), (3, "a b"), (4, "a b"), (4, "a b"), (None, "a b"), (5, " \n "), (6, "x" * 5000)])
+
+
+def empty(spark):
+    return documents(spark, [])
+
+
+# Exact deduplication.
+
+
+def test_cuckoo_insert_delete_resize():
+    index, live = CuckooIndex(8), {}
+    for i in range(3000):
+        key = hashlib.sha256(str(i % 1500).encode()).digest()
+        if key in live and i % 3 == 0:
+            assert index.delete(key)
+            del live[key]
+        elif key not in live:
+            assert index.find(key) < 0
+            index.insert(key, i)
+            live[key] = i
+    assert len(index) == len(live) and dict(index.items()) == live and index.resizes > 3
+    assert all(index.values[index.find(k)] == v for k, v in live.items()) and not index.delete(b"\0" * 32)
+
+
+def test_exact(spark, odd):
+    got = [(r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256[:6]) for r in exact.exact_dedup(odd).collect()]
+    ab, no, xs = (hashlib.sha256(t.encode()).hexdigest()[:6] for t in ("a b", "", "x" * 5000))
+    blank = hashlib.sha256(b" \n ").hexdigest()[:6]
+    assert sorted(got, key=repr) == sorted(
+        [(1, 2, 2, False, no), (2, 2, 2, True, no), (3, 4, 4, False, ab), (4, 4, 4, True, ab), (4, 4, 4, True, ab), (None, 4, 4, False, ab), (5, 5, 1, True, blank), (6, 6, 1, True, xs)], key=repr
+    )
+    assert exact.exact_dedup(empty(spark)).count() == 0
+    left = exact.drop_exact_duplicates(odd)
+    assert sorted(r.doc_id for r in left.collect()) == [2, 4, 4, 5, 6] and left.columns == odd.columns
+
+
+# Lines.
+
+
+def test_lines(spark, odd):
+    rows = [(i, "\n".join([LONG.format("x"), f"own {i}", "  " + LONG.format("Y").upper() + "\t" if i < 4 else "", ""])) for i in range(6)]
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept) for r in lines.line_dedup(documents(spark, rows)).collect()}
+    for i, t in rows:
+        kept = t if i == 5 else t.split("\n", 1)[1]
+        assert got[i] == (4, int(i < 5), kept)
+    dull = {(r.doc_id, r.n_lines, r.n_dropped, r.kept) for r in lines.line_dedup(odd).collect()}
+    assert (1, 1, 0, "") in dull and (5, 2, 0, " \n ") in dull and len(dull) == 7
+    assert lines.line_dedup(empty(spark)).count() == 0
+
+
+def test_runs_keep_first_marks_and_totals(spark):
+    batches = [[("a", 1), ("b", 1)], [("b", 2), ("c", 5)], [("a", 9), ("a", 3)]]
+    index = lines.LineRuns(spark)
+    for b in batches:
+        index.add(spark.createDataFrame([(k.encode(), d) for k, d in b], "key binary, doc_id long"))
+    index.compact(everything=True)
+    (run,) = index.runs()
+    assert sorted((bytes(r.key).decode(), r.n, r.top, r.first) for r in run.collect()) == [("a", 3, 9, True), ("b", 2, 2, True), ("c", 1, 5, True)]
+
+
+# Repeated passages.
+
+
+def brute_passages(rows, unit="sentence"):
+    pattern, first, out = re.compile(passages.UNITS[unit]), {}, []
+    for d, t in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
+        run = []
+        for m in [*pattern.finditer(t or ""), None]:
+            w = m and " ".join(m.group().lower().split())
+            if m is not None and not w:
+                continue
+            if w and w in first:
+                run.append((m.start(), m.end(), len(w.split())))
+                continue
+            if sum(r[2] for r in run if r[2] >= passages.UNIT_WORDS) >= passages.MIN_WORDS:
+                out.append((d, run[0][0], run[-1][1]))
+            run = []
+            if w:
+                first[w] = d
+    return sorted(out)
+
+
+def test_passages(spark, odd):
+    passage = " ".join(f"{a} {b} {c} and some more words here." for a, b, c in zip(WORDS, WORDS[1:], WORDS[2:]))
+    rows = [(1, f"First. {passage} End one."), (2, f"Other start. {passage} Different end."), (3, "Nothing shared here at all, not one sentence."), (4, passage.upper().replace(". ", ".\n"))]
+    got = sorted((r.doc_id, r.start, r.end) for r in passages.repeated_passages(documents(spark, rows)).collect())
+    assert got == brute_passages(rows) and {g[0] for g in got} == {2, 4}
+    assert passages.repeated_passages(odd).count() == 0 and passages.repeated_passages(empty(spark)).count() == 0
+
+
+# Decontamination.
+
+
+def brute_hits(text, items):
+    low = lambda t: [w.lower() if w.isascii() else "".join(c.lower() if c.isascii() else c for c in w) for w in decontaminate.WORD.findall(t or "")]
+    words, hit, found = low(text), set(), set()
+    for i, t in items:
+        w = low(t)
+        n = min(10, len(w))
+        for k in range(len(w) - n + 1 if n else 0):
+            for j in range(len(words) - n + 1):
+                if words[j : j + n] == w[k : k + n]:
+                    hit.update(range(j, j + n))
+                    found.add("" if i is None else str(i))
+    return len(words), len(hit), sorted(found)
+
+
+def test_decontamination(spark, odd):
+    rng = np.random.default_rng(3)
+    items = [(i, " ".join(rng.choice(WORDS[:4], n))) for i, n in enumerate((3, 12, 25, 10, 1))] + [(9, None), (None, "É3 x"), (2, "")]
+    items[4] = (4, "solo")
+    rows = [(i, ", ".join(rng.choice(WORDS[:4], 60))) for i in range(20)] + [(50, items[2][1].upper() + "! É3  X solo."), (51, None), (52, items[1][1] + " " + items[1][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, list(r["items"])) for r in decontaminate.decontaminate(documents(spark, rows), bench).collect()}
+    assert got == {d: brute_hits(t, items) for d, t in rows}
+    blocks = decontaminate.benchmark_blocks(bench, block_bytes=60)
+    assert len(blocks) > 2
+    assert decontaminate.contamination(odd, bench).count() == 8 and decontaminate.contamination(empty(spark), bench).count() == 0
+    assert not decontaminate.contamination(odd, bench.limit(0)).where("contaminated").count()
+
+
+def test_removal_keeps_clean_rows(spark):
+    bench = spark.createDataFrame([(1, " ".join(WORDS[:10]))], "item_id long, text string")
+    rows = [(1, "keep this. " + " ".join(WORDS[:10]) + " and this"), (2, "clean"), (3, " ".join(WORDS[:10])), (4, None)]
+    got = {r.doc_id: (r.text, r.n_chars) for r in decontaminate.remove_contamination(documents(spark, rows).withColumn("n_chars", F.length("text").cast("long")), bench).collect()}
+    assert got == {1: ("keep this.  and this", 20), 2: ("clean", 5), 4: (None, None)}
+
+
+def test_fm_index_finds_all_places():
+    rng = np.random.default_rng(0)
+    text = rng.integers(0, 4, 400)
+    text[-1] = 0
+    index = FMIndex(text, 3)
+    for n in (1, 2, 5):
+        patterns = np.unique(rng.integers(1, 4, (40, n)), axis=0)
+        low, high = index.search(patterns)
+        for p, a, b in zip(patterns, low, high):
+            assert sorted(index.locate(np.arange(a, b)).tolist()) == [i for i in range(len(text) - n + 1) if (text[i : i + n] == p).all()]
+
+
+# Near duplicates.
+
+
+def brute_components(rows, percent, size):
+    sets = {}
+    for d, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
+        sets[d] = frozenset(tuple(w[i : i + size]) for i in range(len(w) - size + 1)) if len(w) >= size else frozenset([tuple(w)] if w else [])
+    name = {d: d for d in sets}
+
+    def find(d):
+        while name[d] != d:
+            d = name[d]
+        return d
+
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((find(a), find(b)))
+                name[y] = x
+    return {d: (len(s), find(d)) for d, s in sets.items()}
+
+
+@pytest.mark.parametrize("percent,size", [(90, 3), (80, 5)])
+def test_ngram_join(spark, odd, percent, size):
+    rng = np.random.default_rng(5)
+    rows = [(1000, None), (1001, " \t"), (1002, "one two"), (1003, "ONE two")]
+    for family in range(12):
+        base = rng.choice(WORDS, int(rng.integers(3, 120))).tolist()
+        for k in range(6):
+            copy = list(base)
+            for _ in range(k):
+                copy[int(rng.integers(len(copy)))] = f"w{rng.integers(10**6)}"
+            rows.append((family * 10 + k, " ".join(copy)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_jaccard_join(documents(spark, rows), percent, size).collect()}
+    assert got == brute_components(rows, percent, size)
+
+
+def test_ngram_join_odd_rows(spark, odd):
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.ngram_jaccard_join(odd).collect()), key=repr)
+    assert got == sorted([(1, 0, 1), (2, 0, 2), (3, 1, 3), (4, 1, 3), (4, 1, 3), (None, 1, 3), (5, 0, 5), (6, 1, 6)], key=repr)
+    assert ngram_join.ngram_jaccard_join(empty(spark)).count() == 0
+
+
+def test_one_deletion_entries_meet():
+    rng = np.random.default_rng(1)
+    a = np.unique(rng.integers(0, 2**63, 12).astype(np.uint64))
+    for b in (a, a[1:], a[:-1]):
+        assert set(ngram_join.index_entries(a, 3, 1, 1)) & set(ngram_join.index_entries(b, 3, 1, 1))
+    assert ngram_join.allocation(9, 100_000)[1] == 1 and ngram_join.allocation(300, 1000)[1] == 0
+    near = np.concatenate([a[:-1], a[-1:] + np.uint64(1)])
+    x, y = (np.frombuffer(ngram_join.odd_sketch(s), np.uint8) for s in (a, near))
+    assert int(np.bitwise_count(x ^ y).sum()) <= 2
+
+
+# Packing.
+
+
+def test_packing(spark, odd):
+    path = packing.default_vocabulary()
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(path.replace(".tiktoken", ".json"))
+    rows = [(i, " ".join(WORDS * (1 + i * 7 % 90)) + " <|endoftext|> é😀\n\n  x" * (i % 3)) for i in range(60)] + [(99, None), (98, "")]
+    got = defaultdict(list)
+    sequences = defaultdict(list)
+    for r in packing.pack_documents(documents(spark, rows), path).collect():
+        got[r.doc_id].append(r)
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for d, t in rows:
+        ids, at = [*whole.encode(t or "", add_special_tokens=False).ids, 1], 0
+        for r in sorted(got[d], key=lambda r: r.start):
+            assert (r.start, r.doc_tokens) == (at, len(ids)) and r.ids_crc32 == zlib.crc32(np.array(ids[at : at + r.length], "<u4").tobytes())
+            at += r.length
+        assert at == len(ids)
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert packing.pack_documents(odd, path).count() >= 8 and packing.pack_documents(empty(spark), path).count() == 0
+
+
+def test_plan_uses_every_piece_once():
+    rng = np.random.default_rng(2)
+    histogram = np.bincount(rng.integers(1, 65, 900), minlength=65)
+    patterns = nnls.plan(histogram)
+    used = np.zeros(65, int)
+    for sizes, n in patterns:
+        assert sum(sizes) <= 64 and n > 0
+        for s in sizes:
+            used[s] += n
+    total = (histogram * np.arange(65)).sum()
+    assert (used == histogram).all() and sum(n for _, n in patterns) <= total / 64 * 1.02 + 1
+
+
+# Toxicity.
+
+
+def test_counterfactuals_calm_identity_terms():
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(400):
+        toxic = i % 2
+        words = rng.choice(WORDS, 30).tolist()
+        if toxic:
+            words[5] = "scumbag"
+        if toxic if i % 10 else not toxic:
+            words[9] = str(rng.choice(["muslim", "jewish"]))
+        rows.append((" ".join(words) + ".", toxic))
+    free, calm = (toxicity.fit(rows, 0.5, counterfactual=c) for c in (0.0, 50.0))
+    neutral, other = "my muslim neighbour came by", "my christian neighbour came by"
+    gap = lambda m: abs(float(np.subtract(*m.score([neutral, other]))))
+    assert gap(calm) < gap(free) / 2 and calm.score([" ".join(WORDS) + " scumbag"])[0] > calm.score([" ".join(WORDS)])[0]
+
+
+def test_toxicity_table(spark, odd):
+    rows = [(i, " ".join(WORDS[: 5 + i % 10]) + (" horrid scumbag" if i % 3 == 0 else "")) for i in range(120)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)] + [(None, 1), (7, None)], "doc_id long, toxic int")
+    docs = documents(spark, rows + [(500, None), (501, "")])
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, labels).collect()}
+    assert all(r.held_out == (zlib.crc32(str(d).encode()) % 3 == 1) for d, r in got.items())
+    assert all(r.predicted == int(d % 3 == 0) for d, r in got.items() if d < 500) and got[500].score == got[501].score < 0.7
+    assert toxicity.toxicity(odd, labels.limit(0)).where("predicted = 1").count() == 0 and toxicity.toxicity(empty(spark), labels).count() == 0
+    assert toxicity.drop_toxic(docs, labels).count() == 82
+
+
+# Fixity.
+
+
+def test_fixity(spark):
+    pages = spark.createDataFrame([(i, f"http://x/{i}", "p" * (i % 7)) for i in range(700)] + [(None, None, None), (3, "http://x/3", "again")], "page_id long, url string, html string")
+    assert fixity.audit(pages, pages).where("status <> 'ok'").count() == 0
+    other = pages.withColumn("html", F.when(F.col("page_id") == 300, "longer than before").otherwise(F.col("html"))).where("page_id IS NULL OR page_id <> 600")
+    got = {r.page_id: r.status for r in fixity.audit(pages, other).where("status <> 'ok'").collect()}
+    assert got[300] == "changed" and got[301] == "moved" and got[511] == "moved" and 512 not in got and 299 not in got and "missing" in got.values()
+    none = pages.limit(0)
+    assert fixity.audit(none, none).count() == 0 and {r.status for r in fixity.audit(none, pages).collect()} == {"extra"}
+
+
+# Secrets.
+
+
+def test_secrets(spark, odd):
+    key = "9f" + "3a7c51e08d" * 3
+    rows = [(1, f'é the token = "{key}" here'), (2, "commit " + "ab12cd34" * 5 + " merged"), (3, "card 4111111111111111 and /usr/lib/python3/file.txt")]
+    got = {r.doc_id: r for r in secrets.secret_scan(documents(spark, rows)).collect()}
+    assert got[1].secret and rows[0][1][got[1].start : got[1].end] == key and got[1].value_sha256 == hashlib.sha256(key.encode()).hexdigest()
+    assert not got[2].secret and not got[3].secret
+    assert secrets.secret_scan(odd).count() == 0 and secrets.secret_scan(empty(spark)).count() == 0
+
+
+# Language models.
+
+
+def brute_losses(docs, target):
+    def model(texts):
+        c3, c2, c1 = (defaultdict(int) for _ in range(3))
+        for t in texts:
+            s = [255, 255, *(t or "").encode(), 254]
+            for i in range(2, len(s)):
+                c3[tuple(s[i - 2 : i + 1])] += 1
+                c2[tuple(s[i - 1 : i + 1])] += 1
+                c1[s[i]] += 1
+        n, h2, k2, h3, k3 = sum(c1.values()), *(defaultdict(int) for _ in range(4))
+        for (b, _), m in c2.items():
+            h2[b] += m
+            k2[b] += 1
+        for (a, b, _), m in c3.items():
+            h3[a, b] += m
+            k3[a, b] += 1
+
+        def p(a, b, c):
+            one = (c1[c] + 1) / (n + 255)
+            two = (c2[b, c] + k2[b] * one) / (h2[b] + k2[b]) if h2[b] else one
+            return (c3[a, b, c] + k3[a, b] * two) / (h3[a, b] + k3[a, b]) if h3[a, b] else two
+
+        return p
+
+    general, wanted, out = model([t for _, t in docs]), model([t for d, t in docs if d in target]), {}
+    for d, t in docs:
+        s = [255, 255, *(t or "").encode(), 254]
+        loss = [sum(-np.log2(m(*s[i - 2 : i + 1])) for i in range(2, len(s))) / (len(s) - 2) for m in (wanted, general)]
+        out[d] = (len(s) - 2, *loss)
+    return out
+
+
+def test_cross_entropy_difference(spark, odd):
+    rows = [(i, " ".join(WORDS[i % 5 : 5 + i % 9]) + "é" * (i % 2)) for i in range(30)] + [(40, None), (41, "")]
+    target = spark.createDataFrame([(i,) for i in range(0, 30, 3)] + [(0,), (None,)], "wanted long")
+    got = {r.doc_id: r for r in lm_score.cross_entropy_difference(documents(spark, rows), target).collect()}
+    for d, (n, wanted, general) in brute_losses(rows, set(range(0, 30, 3))).items():
+        assert got[d].n_tokens == n and got[d].target_loss == pytest.approx(wanted) and got[d].background_loss == pytest.approx(general) and got[d].score == pytest.approx(general - wanted)
+    assert lm_score.cross_entropy_difference(odd, target.limit(0)).count() == 8 and lm_score.cross_entropy_difference(empty(spark), target).count() == 0
