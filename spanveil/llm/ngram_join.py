@@ -23,7 +23,7 @@ SHINGLE = 3
 #: Documents link when 100 x intersection >= PERCENT x union.
 PERCENT = 90
 #: Cost model: a verification costs this many index entries; the chance that sets of unlike documents share an element.
-VERIFY_COST, SHARED = 4.0, 0.25
+VERIFY_COST, SHARED = 4.0, 0.05
 #: Known words a Python worker keeps hashes of, and sets a task remembers to have indexed.
 WORDS_KEPT, SETS_KEPT = 1_000_000, 1_000_000
 #: Members of an entry that one task compares by their sketches; a larger entry is worked through hub by hub, and in
@@ -83,31 +83,40 @@ def difference(top: int, percent: int = PERCENT) -> int:
     return top * (100 - percent) // percent
 
 
-def allocation(top: int, docs: int, percent: int = PERCENT) -> tuple[int, int]:
-    """Segments and their tolerance for pairs whose smaller set is in a band: the cheaper of the two kinds."""
+def allocation(top: int, docs: int, percent: int = PERCENT) -> tuple[int, int, int]:
+    """Segments, their tolerance, and how many may be spared, for pairs whose smaller set is in a band: the cheaper kind.
+
+    With h + 1 + e exact segments at least e + 1 are equal, so a set may leave out e of its entries if it always
+    leaves out the costliest: the empty ones, which many unlike sets share. e is set so that few sets have more.
+    """
     h = difference(top, percent)
     exact, near = h + 1, (h + 2) // 2
+    empty = exact * np.exp(-top / exact)
+    spare = int(np.ceil(empty + 4 * np.sqrt(empty))) if h else 0
 
-    def cost(entries: float, segments: int, alike: float) -> float:
+    def cost(entries: float, segments: float, alike: float) -> float:
         return entries + VERIFY_COST * docs * segments * SHARED**alike
 
-    if cost(exact, exact, top / exact) <= cost(near + top, near * (top / near + 1), top / near - 1):
-        return exact, 0
-    return near, 1
+    if cost(exact + spare, exact + spare, top / (exact + spare)) <= cost(near + top, near * (top / near + 1), top / near - 1):
+        return exact + spare, 0, spare
+    return near, 1, 0
 
 
-def index_entries(found: np.ndarray, band: int, segments: int, tolerance: int) -> np.ndarray:
+def index_entries(found: np.ndarray, band: int, segments: int, tolerance: int, spare: int = 0) -> np.ndarray:
     """The index entries of a set under a band's partition, as signed integers."""
     which = ((found >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)
     mixed = mix(found ^ _A)
     total = np.zeros(segments, np.uint64)
     there, first = np.unique(which, return_index=True)
-    total[there.astype(np.int64)] = np.add.reduceat(mixed, first)
+    there = there.astype(np.int64)
+    total[there] = np.add.reduceat(mixed, first)
     place = mix(np.arange(segments, dtype=np.uint64) + np.uint64(band * int(_B) % 2**64))
     entries = mix(total + place)
     if tolerance:
         at = which.astype(np.int64)
         entries = np.concatenate([entries, mix(total[at] - mixed + place[at])])
+    elif segments - len(there) <= spare:
+        entries = entries[there]
     return entries.view(np.int64)
 
 
@@ -125,7 +134,7 @@ def _measure(shingle: int):
     return measure
 
 
-def _index(tops: list[int], plans: list[tuple[int, int]], shingle: int):
+def _index(tops: list[int], plans: list[tuple[int, int, int]], shingle: int):
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, done = _WordHash(), set()
 

@@ -216,7 +216,7 @@ def test_one_deletion_entries_meet():
     a = np.unique(rng.integers(0, 2**63, 12).astype(np.uint64))
     for b in (a, a[1:], a[:-1]):
         assert set(ngram_join.index_entries(a, 3, 1, 1)) & set(ngram_join.index_entries(b, 3, 1, 1))
-    assert ngram_join.allocation(9, 100_000)[1] == 1 and ngram_join.allocation(300, 1000)[1] == 0
+    assert ngram_join.allocation(9, 10_000_000)[1] == 1 and ngram_join.allocation(300, 1000)[1] == 0
     near = np.concatenate([a[:-1], a[-1:] + np.uint64(1)])
     x, y = (np.frombuffer(ngram_join.odd_sketch(s), np.uint8) for s in (a, near))
     assert int(np.bitwise_count(x ^ y).sum()) <= 2
