@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -216,3 +218,72 @@ def decode_logits(rows: DataFrame, array: str, width: int, classes: int, cut: fl
     )
 
 
+
+
+def kind_split(cover: DataFrame, kind: str) -> DataFrame:
+    """Leak and keep shares of items of one kind and of all others; ``cover`` has a ``kind`` column."""
+    return leak_keep(cover.withColumn("of_kind", F.coalesce(F.col("kind") == kind, F.lit(False))), "of_kind")
+
+
+def coverage_split(items: DataFrame, by_patterns: DataFrame, cover: DataFrame) -> DataFrame:
+    """Leak shares of items that the patterns alone mask whole, and of the rest. Re-specified from prose."""
+    known = by_patterns.where(F.col("masked_chars") >= F.col("chars")).select("doc_id", "item").withColumn("_k", F.lit(True))
+    marked = cover.join(items.select("doc_id", "item"), ["doc_id", "item"], "left_semi").join(known, ["doc_id", "item"], "left")
+    return leak_keep(marked.withColumn("by_patterns", F.coalesce("_k", F.lit(False))), "by_patterns")
+
+
+def task_scores(counts: DataFrame, by: str = "task") -> DataFrame:
+    """Per task precision, recall, F2 and the share of other characters that are masked: counts with ``n_chars``."""
+    sums = counts.groupBy(by).agg(*[F.sum(c).alias(c) for c in ("gold_chars", "pred_chars", "hit_chars", "n_chars")])
+    hit, gold, pred = (F.col(c) for c in ("hit_chars", "gold_chars", "pred_chars"))
+    share = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 6)
+    return sums.select(
+        by, share(hit, pred).alias("precision"), share(hit, gold).alias("recall"), F.round(f_beta(hit, gold, pred, 2.0), 6).alias("f2"),
+        share(pred - hit, F.col("n_chars") - gold).alias("false_rate"),
+    )
+
+
+def places(scores: DataFrame, value: str = "value") -> DataFrame:
+    """Per tool its mean over tasks and its place; equal means share a place."""
+    means = scores.groupBy("tool").agg(F.round(F.avg(value), 6).alias("mean"))
+    return means.withColumn("place", F.rank().over(W.orderBy(F.col("mean").desc())))
+
+
+def latency(rows: DataFrame) -> DataFrame:
+    """Per (tool, size) the median of the rounds' medians and the 95th percentile of all calls: rows (tool, size, round, ms)."""
+    rounds = rows.groupBy("tool", "size", "round").agg(F.percentile("ms", F.lit(0.5)).alias("m")).groupBy("tool", "size").agg(F.percentile("m", F.lit(0.5)).alias("median_ms"))
+    return rounds.join(rows.groupBy("tool", "size").agg(F.percentile("ms", F.lit(0.95)).alias("p95_ms")), ["tool", "size"])
+
+
+def hunks_consistent(text: str) -> bool:
+    """Whether each hunk of a unified diff has as many lines as its header says."""
+    head = re.compile(r"^@@ -\d+(?:,(\d+))? \+\d+(?:,(\d+))? @@")
+    left = None
+    for line in text.split("\n"):
+        if match := head.match(line):
+            if left and any(left):
+                return False
+            left = [int(match[1] or 1), int(match[2] or 1)]
+        elif left and any(left):
+            if line[:1] in ("-", " ", ""):
+                left[0] -= 1
+            if line[:1] in ("+", " ", ""):
+                left[1] -= 1
+            if min(left) < 0 or line[:1] not in ("-", "+", " ", "", "\\"):
+                return False
+    return not left or not any(left)
+
+
+def summary(cover: DataFrame, texts: DataFrame, predicted: DataFrame) -> DataFrame:
+    """One row: leak and keep shares, documents with a leak, clean documents masked, characters masked outside items per 1,000."""
+    shares = leak_keep(cover)
+    leaks = cover.where((F.col("class") == "MUST_MASK") & (F.col("masked_chars") < F.col("chars"))).agg(F.countDistinct("doc_id").alias("leaking_docs"))
+    clean = texts.join(cover.where(F.col("class") == "MUST_MASK").select("doc_id"), "doc_id", "left_anti").select("doc_id")
+    masked_clean = clean.join(predicted.select("doc_id").distinct(), "doc_id", "left_semi").agg(F.count("*").alias("clean_docs_masked"))
+    inside = shared_chars(covered(cover.select("doc_id", "start", "end")), covered(predicted)).agg(F.coalesce(F.sum("chars"), F.lit(0)).alias("inside"))
+    everything = covered(predicted).agg(F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0)).alias("masked"))
+    size = texts.agg(F.sum(F.length("text")).alias("n_chars"), F.count("*").alias("docs"))
+    row = shares
+    for part in (leaks, masked_clean, clean.agg(F.count("*").alias("clean_docs")), inside, everything, size):
+        row = row.crossJoin(part)  # one row each
+    return row.withColumn("outside_per_1000", F.round(F.try_divide(1000 * (F.col("masked") - F.col("inside")), F.col("n_chars")), 6)).drop("inside")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..errors import InvalidConfig
+
 HOST_KEY = re.compile(r"^(?:\*\.)?(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+[a-z0-9-]{2,63}$")
 
 # Hosts whose URLs stay readable in full; `*.` covers a domain and all below it.
@@ -33,9 +35,9 @@ def policy(hosts: dict[str, str] | None = None, replace_defaults: bool = False)
     """Host keys to `full`, `host` or `mask`; raises for a key that isn't a lower-case host or domain."""
     for key, release in (hosts or {}).items():
         if not HOST_KEY.match(key):
-            raise ValueError(f"not a lower-case host or *.domain: {key!r}")
+            raise InvalidConfig(f"not a lower-case host or *.domain: {key!r}")
         if release not in ("full", "host", "mask"):
-            raise ValueError(f"release of {key!r} must be 'full', 'host' or 'mask', not {release!r}")
+            raise InvalidConfig(f"release of {key!r} must be 'full', 'host' or 'mask', not {release!r}")
     return {**({} if replace_defaults else dict.fromkeys(FULL, "full")), **(hosts or {})}
 
 

@@ -10,6 +10,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import InvalidConfig
+
 MAX_POLICY_BYTES = 64 * 1024
 
 
@@ -87,7 +89,7 @@ def bio_spans(tokens: DataFrame) -> DataFrame:
     return runs.where("tag <> 'O'").groupBy("doc_id", "_run", "label").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_run")
 
 
-class PolicyError(ValueError):
+class PolicyError(InvalidConfig):
     """A policy file that can't be used."""
 
 

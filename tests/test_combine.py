@@ -1,7 +1,5 @@
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
-
 from spanveil.operators import combine as C
 from spanveil.operators import evaluate as E
 
@@ -63,4 +61,19 @@ def test_scores(spark):
     assert sweep == {0.1: (20, 25, 19), 0.3: (20, 20, 19), 0.5: (20, 10, 10)}
     ci = E.bootstrap(E.char_counts(gold, pred), 50).first()
     assert 0 <= ci.low <= ci.mean <= ci.high <= 1
-    assert F.lit(1) is not None
+
+
+def test_reports(spark):
+    texts = spark.createDataFrame([(1, "call bob now"), (2, "nothing"), (3, "plain")], "doc_id int, text string")
+    items = spark.createDataFrame([(1, "b", "MUST_MASK", "name", 5, 8), (1, "n", "MUST_KEEP", "word", 9, 12)], "doc_id int, item string, class string, kind string, start int, end int")
+    pred = spark.createDataFrame([(1, "x", 5, 7, 0.9), (3, "x", 0, 2, 0.9)], SCHEMA)
+    cover = E.item_cover(items, pred, texts)
+    row = E.summary(cover, texts, pred).first()
+    assert (row.leaked, row.kept, row.leaking_docs, row.clean_docs, row.clean_docs_masked, row.masked) == (1, 1, 1, 2, 1, 4)
+    assert {r.of_kind: r.leaked for r in E.kind_split(cover, "name").collect()} == {True: 1, False: 0}
+    scores = spark.createDataFrame([("a", 0.5), ("a", 0.7), ("b", 0.6), ("c", 0.1)], "tool string, value double")
+    assert {r.tool: r.place for r in E.places(scores).collect()} == {"a": 1, "b": 1, "c": 3}
+    calls = spark.createDataFrame([("a", 1, r, float(ms)) for r in (0, 1, 2) for ms in (r, r + 1, r + 2)], "tool string, size int, round int, ms double")
+    assert E.latency(calls).first().median_ms == 2.0
+    good = "@@ -1,2 +1,2 @@\n a\n-b\n+c\n"
+    assert E.hunks_consistent(good) and not E.hunks_consistent(good.replace("-b\n", ""))
