@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,9 @@ def find(docs: DataFrame, recognizers: Iterable[Recognizer] = PACK, model_spans:
         found = found.unionByName(combine.dedupe(filters.above_cut(shaped, cuts)).join(texts, "doc_id").withColumn("value", F.expr("substring(text, start + 1, end - start)")).select(*SPAN))
     found = filters.above_cut(filters.enabled(found, disabled), cuts)
     found = filters.drop_log_stamps(filters.drop_in_digests(found, texts), texts)
+    # Spans are few beside their texts and read by several branches from here on: held, spilling to disk, instead of
+    # being detected again for each. A lost part is computed anew from the texts.
+    found = found.persist(StorageLevel.MEMORY_AND_DISK)
     found = urls.release_clean(found, urls.policy(hosts))
     merged = combine.dedupe(found, across_labels=True)
     merged = combine.join_addresses(combine.refine(merged, texts), texts)
@@ -46,7 +50,7 @@ def find(docs: DataFrame, recognizers: Iterable[Recognizer] = PACK, model_spans:
 def sanitize(docs: DataFrame, spans: DataFrame, salt: str = "") -> tuple[DataFrame, DataFrame]:
     """Masked texts (session_id, seq, text, masked) and the vault. ``docs``: session_id, seq, doc_id, text."""
     texts = docs.withColumn("text", escape_placeholders(F.col("text")))
-    placed = spans.join(docs.select("session_id", "seq", "doc_id"), "doc_id")
+    placed = spans.join(docs.select("session_id", "seq", "doc_id"), "doc_id").persist(StorageLevel.MEMORY_AND_DISK)
     entries = vault.allocate(placed, salt=salt)
     masked = vault.mask(texts, placed, entries)
     return masked.withColumn("text", unescape_placeholders(F.col("text"))), entries
