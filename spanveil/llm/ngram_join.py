@@ -305,8 +305,34 @@ def _near_pairs(percent: int):
     return run
 
 
+def _possible(percent: int):
+    """Of rows (a, b, na, nb, sa, sb) the pairs that neither sizes nor sketches prove too far apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = (batch.column(k).to_numpy() for k in (2, 3))
+            most = (na + nb) * (100 - percent) // (100 + percent)
+            keep = np.abs(na - nb) <= most
+            for i in np.flatnonzero(keep):
+                x, y = (np.frombuffer(batch.column(k)[int(i)].as_py(), np.uint8) for k in (4, 5))
+                while len(x) != len(y):
+                    long = max(x, y, key=len)
+                    folded = long[: len(long) // 2] ^ long[len(long) // 2 :]
+                    x, y = (folded, y) if long is x else (x, folded)
+                keep[i] = int(np.bitwise_count(x ^ y).sum()) <= most[i]
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in (0, 1)], ["a", "b"])
+
+    return run
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough. Both joins are plain equi-joins, which adaptive execution splits."""
+    """The pairs (a, b) whose sets are similar enough. All joins are plain equi-joins, which adaptive execution splits.
+
+    Sketches go first: whole sets move only for pairs that may be similar.
+    """
+    small = lambda c, n, k: sets.select(F.col("cls").alias(c), F.size("elements").cast("long").alias(n), F.col("sketch").alias(k))
+    sketched = pairs.join(small("a", "na", "sa"), "a").join(small("b", "nb", "sb"), "b")
+    pairs = written(sketched.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_possible(percent), "a bigint, b bigint").distinct(), "possible")
     one = sets.select(F.col("cls").alias("a"), F.col("elements").alias("x"))
     two = sets.select(F.col("cls").alias("b"), F.col("elements").alias("y"))
     both = pairs.join(one, "a").join(two, "b")
