@@ -12,7 +12,6 @@ from .decontaminate import contamination
 from .exact import exact_dedup
 from .fixity import audit, damaged
 from .lines import line_dedup
-from .lm_score import cross_entropy_difference
 from .ngram_join import ngram_jaccard_join
 from .packing import default_vocabulary, pack_documents
 
@@ -23,6 +22,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 from .passages import repeated_passages
 from .secrets import secret_scan
 from .toxicity import toxicity
+from .word_score import word_cross_entropy_difference
 
 
 def op1_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +65,7 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The target is what is labelled as of high quality."""
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+    return word_cross_entropy_difference(table(spark, sf_dir, "documents"), good)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
