@@ -1,10 +1,12 @@
-"""Removal of passages that repeat across a corpus, by hashing its units: lines, paragraphs or sentences of lines."""
+"""Removal of passages that repeat across a corpus, by hashing its units: anchored pieces, sentences, lines or paragraphs."""
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -12,41 +14,104 @@ from pyspark.sql import functions as F
 
 from .common import id_and_text, written
 
-#: What makes a unit. A passage inside a longer line shares whole sentences with its other places, never the line.
+#: What makes a unit, besides "anchored": a passage inside a longer line shares whole sentences, never the line.
 UNITS = {
     "sentence": r"[^\n.!?]*(?:[.!?]+(?!\s)[^\n.!?]*)*[.!?]*",
     "line": r"[^\n]+",
     "paragraph": r"[^\n]+(?:\n[^\n]+)*",
 }
-#: Words that a run of neighbouring repeated units must have in its units of at least ``UNIT_WORDS`` to be removed:
-#: shorter units repeat by chance and extend a run without counting for it.
+#: Words that a run of neighbouring repeats must have to be removed. A unit of fewer than ``UNIT_WORDS`` that repeats by
+#: itself extends a run without counting for it; one that repeats together with its neighbours counts.
 MIN_WORDS, UNIT_WORDS = 30, 4
+#: Words on either side that a cut between anchored units is the first of, so that units have more words than that.
+REACH = 3
 
 
-def _split(pattern: str):
+def anchored(text: str, cache: dict[str, int]) -> list[tuple[str, int, int, int, int, int, int]]:
+    """(normalised unit, place, start, end, words, span, parent): the text cut where a place comes first among the ``REACH`` places on either side.
+
+    Places after a sentence or line come before others, then hashes of the two words beside a place decide. Long
+    sentences are cut inside, at the same words wherever these stand, so that a passage need not begin or end with a
+    sentence. Short sentences and lines share a unit with their neighbours; the pieces of such a unit come too, by
+    themselves. ``place`` counts pieces, a unit of several has ``span`` of them, and ``parent`` is its first one.
+    """
+    places = [m.span() for m in re.finditer(r"\S+", text)]
+    n = len(places)
+    if not n:
+        return []
+    words = [text[a:b].lower() for a, b in places]
+    for w in words:
+        if w not in cache:
+            cache[w] = zlib.crc32(w.encode("utf-8", "surrogatepass"))
+    breaks = np.array([k for k, c in enumerate(text) if c == "\n"] if "\n" in text else [], np.int64)
+    starts, ends = np.array(places).T
+    hashes = np.fromiter((cache[w] for w in words), np.uint64, n)
+    closes = np.fromiter((w[-1] in ".!?" for w in words), bool, n)
+    line = np.searchsorted(breaks, starts)
+    first = closes[:-1] | (line[1:] > line[:-1])
+    mixed = (hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:]) * np.uint64(0xC2B2AE3D27D4EB4F)
+    rank = ((mixed ^ (mixed >> np.uint64(29))) >> np.uint64(1)) | np.where(first, np.uint64(0), np.uint64(1 << 63))
+    held = np.full(n - 1 + 2 * REACH, 2**64 - 1, np.uint64)
+    held[REACH : REACH + n - 1] = rank
+    held[[REACH - 1, REACH + n - 1]] = np.uint64(1 << 63)  # the text's own ends come before places inside sentences
+    cut = np.ones(n - 1, bool)
+    for k in range(1, REACH + 1):
+        cut &= (rank < held[REACH - k : REACH - k + n - 1]) & (rank <= held[REACH + k : REACH + k + n - 1])
+    at = [0, *(np.flatnonzero(cut) + 1).tolist(), n]
+    closed = np.flatnonzero(first) + 1
+    inner = np.searchsorted(closed, [x + 1 for x in at[:-1]]), np.searchsorted(closed, at[1:])
+
+    def unit(a: int, b: int, place: int, span: int, parent: int) -> tuple[str, int, int, int, int, int, int]:
+        before = places[a - 1][1] if a else 0
+        return " ".join(words[a:b]), place, max(before, text.rfind("\n", before, places[a][0]) + 1), places[b - 1][1], b - a, span, parent
+
+    out, place = [], 0
+    for a, b, i, j in zip(at, at[1:], *inner):
+        parts = [a, *closed[i:j].tolist(), b]
+        out.append(unit(a, b, place, len(parts) - 1, place))
+        if len(parts) > 2:
+            out += [unit(c, d, place + k, 1, place) for k, (c, d) in enumerate(zip(parts, parts[1:]))]
+        place += len(parts) - 1
+    return out
+
+
+def _pieces(pattern: str | None):
+    """From a text to what ``anchored`` gives."""
+    if pattern is None:
+        cache: dict[str, int] = {}
+
+        def cut(text: str) -> list[tuple[str, int, int, int, int, int, int]]:
+            if len(cache) > 500_000:
+                cache.clear()
+            return anchored(text, cache)
+
+        return cut
     unit = re.compile(pattern)
 
+    def whole(text: str) -> list[tuple[str, int, int, int, int, int, int]]:
+        found = [(w, m) for m in unit.finditer(text) if (w := m.group().lower().split())]
+        return [(" ".join(w), at, m.start(), m.end(), len(w), 1, at) for at, (w, m) in enumerate(found)]
+
+    return whole
+
+
+def _split(pattern: str | None):
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         def batch_of(batch: pa.RecordBatch, cells: list[tuple]) -> pa.RecordBatch:
-            rows, digests, unit_at, starts, ends, words = zip(*cells)
+            rows, digests, *rest = zip(*cells)
             return pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(rows, pa.int64())), batch.column(1).take(pa.array(rows, pa.int64())), pa.array(digests, pa.int64())]
-                + [pa.array(x, pa.int32()) for x in (unit_at, starts, ends, words)],
-                ["doc_id", "row_hash", "digest", "unit", "start", "end", "words"],
+                + [pa.array(x, pa.int32()) for x in rest],
+                ["doc_id", "row_hash", "digest", "unit", "start", "end", "words", "span", "parent"],
             )
 
+        pieces = _pieces(pattern)
         for batch in batches:
             cells: list[tuple] = []
             for row, text in enumerate(batch.column(2)):
-                at = 0
-                for match in unit.finditer(text.as_py()):
-                    words = match.group().lower().split()
-                    if words:
-                        digest = xxhash.xxh3_64_intdigest(" ".join(words)) - 2**63
-                        cells.append((row, digest, at, match.start(), match.end(), len(words)))
-                        at += 1
+                cells += [(row, xxhash.xxh3_64_intdigest(unit) - 2**63, *rest) for unit, *rest in pieces(text.as_py())]
                 if len(cells) > 200_000:
                     yield batch_of(batch, cells)
                     cells = []
@@ -56,47 +121,49 @@ def _split(pattern: str):
     return split
 
 
-def units(docs: DataFrame, unit: str = "sentence", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, row_hash, digest, unit, start, end, words): the normalised units of each text with their code-point offsets.
+def units(docs: DataFrame, unit: str = "anchored", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, row_hash, digest, unit, start, end, words, span, parent): the normalised units of each text with their code-point offsets.
 
     Normalised: lower case, and each run of white space one space. ``row_hash`` tells rows apart that share an id.
     """
     base = id_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("row_hash"), "text")
     kind = base.schema["doc_id"].dataType.simpleString()
-    return base.mapInArrow(_split(UNITS[unit]), f"doc_id {kind}, row_hash bigint, digest bigint, unit int, start int, end int, words int")
+    return base.mapInArrow(_split(None if unit == "anchored" else UNITS[unit]), f"doc_id {kind}, row_hash bigint, digest bigint, unit int, start int, end int, words int, span int, parent int")
 
 
 def repeated_passages(
-    docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS, unit_words: int = UNIT_WORDS, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, unit: str = "anchored", min_words: int = MIN_WORDS, unit_words: int = UNIT_WORDS, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Passages to remove: doc_id, start, end (code points), n_units, n_words, keep_id (least id that keeps a unit of it).
 
     Of each unit's places the earliest stays, by id, then by place in the text; every other is a repeat. Repeats
-    that follow one another in a document are one passage, and a passage with at least ``min_words`` words in units
-    of ``unit_words`` or more is given with its original offsets. A null or blank text has no units; a null id ranks before all others. Rows that
+    that follow one another in a document are one passage, and one of at least ``min_words`` words, without units of
+    fewer than ``unit_words`` that repeat only by themselves, is given with its original offsets. A null or blank text has no units; a null id ranks before all others. Rows that
     repeat id and text are one document. An empty table gives no rows; other columns are ignored.
     """
     found = written(units(docs, unit, id_col, text_col), "units")
     place = F.struct("doc_id", "row_hash", "unit")
     first = written(
-        found.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-        .where(F.col("first") < F.col("last")).select("digest", "first"),
+        found.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"),
         "first-places",
     )
     # Both sides come from tables, so that the join deals them itself: adaptive execution then splits the partition
     # of a digest that a third of all documents hold.
-    repeats = found.join(first, "digest").where(place > F.col("first")).select("doc_id", "row_hash", "unit", "start", "end", "words", F.col("first.doc_id").alias("keep_id"))
+    repeats = found.join(first, "digest").where(place > F.col("first")).select("doc_id", "row_hash", "unit", "start", "end", "words", "span", "parent", F.col("first.doc_id").alias("keep_id"))
+    # Pieces of a unit that repeats as a whole go; what stays is disjoint.
+    widest = F.max("span").over(W.partitionBy("doc_id", "row_hash", "parent"))
+    apart = repeats.distinct().withColumn("widest", widest).where(F.col("span") == F.col("widest"))
     by_doc = W.partitionBy("doc_id", "row_hash").orderBy("unit")
-    runs = repeats.distinct().withColumn("run", F.col("unit") - F.row_number().over(by_doc))
+    runs = apart.withColumn("run", F.col("unit") + F.col("span") - F.sum("span").over(by_doc))
     return (
         runs.groupBy("doc_id", "row_hash", "run")
         .agg(
             F.min("start").cast("long").alias("start"),
             F.max("end").cast("long").alias("end"),
-            F.count("*").alias("n_units"),
+            F.sum("span").alias("n_units"),
             F.sum("words").alias("n_words"),
             F.min("keep_id").alias("keep_id"),
-            F.sum(F.when(F.col("words") >= unit_words, F.col("words")).otherwise(0)).alias("weight"),
+            F.sum(F.when((F.col("span") > 1) | (F.col("words") >= unit_words), F.col("words")).otherwise(0)).alias("weight"),
         )
         .where(F.col("weight") >= min_words)
         .select("doc_id", "start", "end", "n_units", "n_words", "keep_id")
