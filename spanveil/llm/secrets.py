@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 
 from .common import id_and_text, written
 
-#: A candidate: a long run of key characters, at least one of them a digit. Possessive, so its cost is linear.
-CANDIDATE = r"[A-Za-z0-9+/_.\-]{16,}+={0,2}+"
+#: A candidate: what is assigned to a credential's name, short or with symbols, or a long run of key characters. The
+#: run is possessive, so its cost is linear; names are looked for only behind a colon or equals sign.
+NAMES = r"(?i:password|passwd|pwd|passphrase|passcode|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|signing[_ -]?key|auth|credential)"
+SCHEME = r"(?:(?i:bearer|basic|token)[ \t]{1,2})?"
+ASSIGNED = rf"(?<=[:=>\s\"'`])(?<=[:=]>?[ \t]{{0,4}}{SCHEME}[\"'`]?)(?<={NAMES}[A-Za-z0-9_\-]{{0,24}}[\"'`]?[ \t]{{0,4}}[:=]{{1,2}}>?[ \t]{{0,4}}{SCHEME}[\"'`]?)[^\s\"'`:=][^\s\"'`]{{2,254}}[^\s\"'`,;.)\]}}>]"
+CANDIDATE = rf"{ASSIGNED}|[A-Za-z0-9+/_.\-]{{16,}}+={{0,2}}+"
 THRESHOLD = 0.5
 CONTEXT = 40
 
@@ -65,27 +69,29 @@ def features(findings: DataFrame) -> DataFrame:
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, end, value, before, after): candidates with code-point offsets and what stands beside them."""
     base = id_and_text(docs, id_col, text_col)
-    found = base.withColumn("runs", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)))
-    found = found.where(F.exists("runs", lambda x: x.rlike("[0-9]")))
+    found = base.withColumn("runs", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).where(F.size("runs") > 0)
     gaps = found.withColumn("gaps", F.split("text", CANDIDATE, -1)).select("doc_id", "runs", "gaps")
-    ends = F.aggregate(
+    # What stands before goes on across earlier candidates: a long name is one, and it says what its value is.
+    placed = F.aggregate(
         F.arrays_zip("runs", F.slice("gaps", 1, F.size("runs")).alias("gap")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
+        F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast("array<struct<start:int,before:string>>").alias("found")),
         lambda done, x: F.struct(
             (done["at"] + F.length(x["gap"]) + F.length(x["runs"])).alias("at"),
-            F.array_append(done["starts"], done["at"] + F.length(x["gap"])).alias("starts"),
+            F.right(F.concat(done["tail"], x["gap"], x["runs"]), F.lit(CONTEXT)).alias("tail"),
+            F.array_append(done["found"], F.struct((done["at"] + F.length(x["gap"])).alias("start"), F.right(F.concat(done["tail"], x["gap"]), F.lit(CONTEXT)).alias("before"))).alias("found"),
         ),
-        lambda done: done["starts"],
+        lambda done: done["found"],
     )
-    rows = gaps.withColumn("starts", ends).select("doc_id", "runs", "gaps", F.posexplode("starts").alias("i", "start"))
+    rows = gaps.withColumn("found", placed).select("doc_id", "runs", "gaps", F.posexplode("found").alias("i", "m"))
     one = rows.select(
         "doc_id",
-        F.col("start").cast("long").alias("start"),
+        F.col("m.start").cast("long").alias("start"),
         F.get("runs", F.col("i")).alias("value"),
-        F.right(F.get("gaps", F.col("i")), F.lit(CONTEXT)).alias("before"),
+        F.col("m.before").alias("before"),
         F.left(F.get("gaps", F.col("i") + 1), F.lit(8)).alias("after"),
     )
-    return one.where(F.col("value").rlike("[0-9]")).withColumn("end", F.col("start") + F.length("value"))
+    # One character over and over is a rule or a filler.
+    return one.where(F.col("value").rlike("[A-Za-z0-9]") & ~F.col("value").rlike(r"^(.)\1*+$")).withColumn("end", F.col("start") + F.length("value"))
 
 
 def labelled_findings(spark: SparkSession, each: int = 160) -> DataFrame:
@@ -115,6 +121,18 @@ def labelled_findings(spark: SparkSession, each: int = 160) -> DataFrame:
         (0, F.concat(word("o", 1), F.lit("."), word("o", 2), varied("ov", 1, 99).cast("string"), F.lit(".example.com")), pick("ob", "user@", "mail to x@", "host ", "://"), pick("oa", " ", "\n", ":")),
         (0, F.concat(word("p", 1), word("p", 2), word("p", 3), varied("pv", 0, 9).cast("string")), pick("pb", "the ", "and then ", "", "of a "), pick("pa", " ", ".", "\n")),
         (0, F.concat(varied("qy", 2000, 2030).cast("string"), F.lit("-"), F.lpad(varied("qm", 1, 12).cast("string"), 2, "0"), F.lit("-01T10-"), F.lpad(varied("qs", 0, 59).cast("string"), 2, "0"), F.lit("-00.000")), pick("qb", "at ", "log ", "time=", ""), pick("qa", " ", "\n")),
+        # Short values, values with symbols or of letters only, and long names; what stands in such places without being secret.
+        (1, F.concat(F.initcap(word("r", 1)), pick("rs", "&", "!", "#", "$", "%", "@", "*"), varied("rv", 1, 9999).cast("string")), pick("rb", "password: ", "pwd=", "passwd = \"", "DB_PASSWORD=", "login password: '"), pick("ra", " ", "\n", "\"", "'")),
+        (1, F.concat(word("s", 1), varied("sv", 1, 99).cast("string"), word("s", 2)), pick("sb", "password=", "the password: ", "passphrase: ", "user_password = '", "PWD="), pick("sa", " ", "\n", "'", "&")),
+        (1, F.concat(hexes("t", 3), pick("ts", "!", "^", "~", "?", "+", "$"), b64("t", 8)), pick("tb", "password: ", "secret=", "client_secret: \"", "auth = '", "passcode="), pick("ta", " ", "\n", "\"", "'")),
+        (1, F.translate(cut(b64("u", 64), "ul", 18, 40), "0123456789", "qWeRtYuIoP"), pick("ub", "token=", "api_key: ", "secret = \"", "AWS_SECRET_ACCESS_KEY=", "stripe_secret_key_live = "), pick("ua", " ", "\n", "\"", "")),
+        (1, F.concat(F.lit("abcdefghijklmnop"), F.translate(hexes("uu", 16), "0123456789", "GHIJKLMNOP")), pick("uub", "token=", "access_token: ", "secret_key='"), pick("uua", " ", "\n", "'", "")),
+        (1, cut(hexes("v", 64), "vl", 16, 48), pick("vb", "AWS_SECRET_ACCESS_KEY=", "stripe_secret_key_live = ", "export SERVICE_AUTH_TOKEN_PROD=", "my_application_password_value: "), pick("va", " ", "\n", "\"", "")),
+        (0, word("w", 1), pick("wb", "password: ", "token: ", "secret = ", "auth: ", "the password: "), pick("wa", " ", ".", "\n", ",")),
+        (0, pick("xv", "${PASSWORD}", "<password>", "{{token}}", "$DB_PASSWORD", "********", "getenv(\"TOKEN", "%(secret)s", "None", "null", "true", "required", "Bearer", "changeit"), pick("xb", "password=", "token: ", "secret = ", "Authorization: ", "auth="), pick("xa", " ", "\n", "\"", ")")),
+        (0, F.concat(word("y", 1), word("y", 2), word("y", 3), word("y", 4)), pick("yb", "the ", "and then ", "of a ", "", "with its "), pick("ya", " ", ".", ",", "\n")),
+        (0, F.concat(pick("z1", "inter", "trans", "under", "ver", "re", "con"), pick("z2", "nation", "form", "stand", "ant", "duc"), pick("z3", "alis", "ation", "ing", "wort", "tif"), pick("z4", "ierung", "ement", "ability", "ically", "lichkeit")), pick("zb", "the ", "die ", "of ", "and ", "secret of the "), pick("za", " ", ".", ",", "\n")),
+        (0, F.concat(word("aa", 1), pick("as", "_", "-", "/", "."), word("aa", 2), pick("as", "_", "-", "/", "."), word("aa", 3)), pick("ab2", "the ", "call ", "in ", "token ", "key = "), pick("ac", " ", "(", "=", "\n")),
     ]
     ids = spark.range(each)
     made = None
