@@ -286,7 +286,7 @@ def sanitize_documents(spark: SparkSession, d: str) -> DataFrame:
     """The whole path, one session per document; the flagship."""
     docs = docs_of(spark, d)
     rows = docs.select(F.col("doc_id").alias("session_id"), F.lit(0).alias("seq"), "doc_id", "text")
-    masked, _ = sanitize(rows, find(docs, [*BASIC, *chosen("token-field", "password-field", "aws-access-key")]))
+    masked, _ = sanitize(rows, find(docs))
     return masked.select("session_id", "masked")
 
 
@@ -294,7 +294,7 @@ def sanitize_documents(spark: SparkSession, d: str) -> DataFrame:
 def sanitize_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     docs = docs_of(spark, d)
     rows = docs.select(F.col("doc_id").alias("session_id"), F.lit(0).alias("seq"), "doc_id", "text")
-    return round_trip(*sanitize(rows, find(docs, BASIC))).agg(F.count("*").alias("mismatches"))
+    return round_trip(*sanitize(rows, find(docs))).agg(F.count("*").alias("mismatches"))
 
 
 # URLs.
