@@ -13,6 +13,8 @@ from .pack import PACK, Recognizer
 
 #: What a span that passed its check scores, and at which confidence a recognizer no longer defers to the model.
 VALIDATED_SCORE, OVERRIDES_AT = 0.99998, 0.9
+#: The recognizer whose matches are walked from a mark over the lines of a key.
+PARTIAL = "core:pem-private-key-partial"
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -69,7 +71,7 @@ def raw_spans(docs: DataFrame, recognizers: Iterable[Recognizer] = PACK, id_col:
     for r in recognizers:
         named = F.transform(matches(text, r.java or java(r.pattern, r.ignore_case)), _named(r))
         found.append(F.when(gate(text, low, r), named).otherwise(F.array().cast(kind)))
-    return base.select("doc_id", F.explode(F.concat(*found)).alias("m")).select("doc_id", "m.*")
+    return base.select("doc_id", F.explode(F.concat(F.array().cast(kind), *found)).alias("m")).select("doc_id", "m.*")
 
 
 def checked(spans: DataFrame, recognizers: Iterable[Recognizer] = PACK) -> DataFrame:
@@ -129,7 +131,18 @@ def detect(docs: DataFrame, recognizers: Iterable[Recognizer] = PACK, model_span
     that covers their whole match.
     """
     recognizers = list(recognizers)
-    spans = checked(raw_spans(docs, recognizers, id_col, text_col), recognizers)
+    marks = [r for r in recognizers if r.id == PARTIAL]
+    spans = checked(raw_spans(docs, [r for r in recognizers if r.id != PARTIAL], id_col, text_col), recognizers)
+    if marks:
+        from .encoded import partial_keys
+
+        # A mark alone says nothing; with the key's lines on its open side it is a key.
+        texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+        keys = partial_keys(texts, "text").select(
+            "doc_id", F.lit(PARTIAL).alias("recognizer"), F.lit(marks[0].label).alias("label"), F.lit(marks[0].confidence).alias("confidence"),
+            "start", "end", F.expr("substring(text, start + 1, end - start)").alias("value"), F.lit(marks[0].confidence).alias("score"),
+        )
+        spans = spans.unionByName(keys)
     spans = spans.where(never_rule(F.col("label"), F.col("value")).isNull())
     if model_spans is not None:
         m = model_spans.select(F.col("doc_id").alias("m_id"), F.col("start").alias("m_start"), F.col("end").alias("m_end"))

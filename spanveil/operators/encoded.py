@@ -61,12 +61,12 @@ def partial_key(text: str, mark: re.Match) -> tuple[int, int] | None:
     return (mark.start(), edge) if opening else (edge, mark.end())
 
 
-def partial_keys(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, end) of keys with one mark; only texts with a mark reach Python."""
+def partial_keys(docs: DataFrame, *kept: str) -> DataFrame:
+    """(doc_id, start, end) of keys with one mark, and the columns ``kept``; only texts with a mark reach Python."""
 
     @F.pandas_udf("array<struct<start:int,end:int>>")
     def walk(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [{"start": s[0], "end": s[1]} for m in MARK.finditer(t) if (s := partial_key(t, m))])
 
     marked = docs.where(F.col("text").contains("PRIVATE KEY"))
-    return marked.select("doc_id", F.explode(walk("text")).alias("s")).select("doc_id", "s.start", "s.end")
+    return marked.select("doc_id", *kept, F.explode(walk("text")).alias("s")).select("doc_id", *kept, "s.start", "s.end")

@@ -497,10 +497,10 @@ def event_prop_strings(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def base64_hits(spark: SparkSession, d: str) -> DataFrame:
     hidden = F.regexp_replace(F.base64(F.encode(F.expr("'mail user' || doc_id || '@corp.org please'"), "utf-8")), r"\s", "")
-    return encoded.base64_spans(docs_of(spark, d).select("doc_id", F.concat(F.lit("data "), hidden, F.lit(" end")).alias("text")))
+    return encoded.base64_spans(docs_of(spark, d).select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\ndata "), hidden, F.lit(" end")).alias("text")))
 
 
 @query()
 def partial_keys(spark: SparkSession, d: str) -> DataFrame:
     line = F.regexp_replace(F.base64(F.encode(F.repeat(F.col("doc_id").cast("string"), 20), "utf-8")), r"\s|=", "")
-    return encoded.partial_keys(docs_of(spark, d).select("doc_id", F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), line, F.lit("\n"), line, F.lit("\n no end")).alias("text")))
+    return encoded.partial_keys(docs_of(spark, d).select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n-----BEGIN RSA PRIVATE KEY-----\n"), line, F.lit("\n"), line, F.lit("\n no end")).alias("text")))
