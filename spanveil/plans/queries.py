@@ -425,7 +425,7 @@ def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     _, gold, pred = scored(spark, d)
-    return evaluate.bootstrap(evaluate.char_counts(gold, pred), 200)
+    return evaluate.bootstrap(evaluate.char_counts(gold, pred))
 
 
 @query(f"""WITH k AS (SELECT 'missed' AS kind, label, value FROM ({GOLD_SQL}) g WHERE NOT EXISTS (SELECT 1 FROM ({PRED_SQL}) p WHERE p.doc_id = g.doc_id AND p.label = g.label AND p.s = g.s AND p.e = g.e)
