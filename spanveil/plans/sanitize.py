@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import escape_placeholders, remap, unescape_placeholders, with_normalised
-from ..operators import combine, encoded, filters, urls, vault
+from ..operators import combine, encoded, filters, urls, vault, windows
 from ..operators.detect import detect
 from ..operators.pack import PACK, Recognizer
 
@@ -26,12 +26,22 @@ def find(docs: DataFrame, recognizers: Iterable[Recognizer] = PACK, model_spans:
     """
     recognizers = list(recognizers)
     texts = docs.select("doc_id", escape_placeholders(F.col("text")).alias("text"))
-    found = detect(texts, recognizers, model_spans).select(*SPAN).unionByName(encoded.base64_spans(texts).select(*SPAN))
+    # Longer texts go by overlapping segments, each of which is normalised too.
+    parts = windows.segments(texts).select(F.struct(F.col("doc_id").alias("id"), F.col("start").alias("at")).alias("doc_id"), "text", F.col("end").alias("upto"))
+    model = None
+    if model_spans is not None:
+        inside = parts.select(F.col("doc_id").alias("part"), F.col("doc_id.id").alias("doc_id"), F.col("doc_id.at").alias("at"), "upto").join(model_spans, "doc_id")
+        inside = inside.where((F.col("end") > F.col("at")) & (F.col("start") < F.col("upto")))
+        model = inside.select(F.col("part").alias("doc_id"), (F.col("start") - F.col("at")).alias("start"), (F.col("end") - F.col("at")).alias("end"))
+    parts = parts.drop("upto")
+    found = detect(parts, recognizers, model).select(*SPAN).unionByName(encoded.base64_spans(parts).select(*SPAN))
     if normalise:
-        changed = with_normalised(texts).where("origin IS NOT NULL")
+        changed = with_normalised(parts).where("origin IS NOT NULL")
         again = detect(changed.select("doc_id", F.col("normalised").alias("text")), recognizers).select(*SPAN).join(changed.select("doc_id", "origin", "text"), "doc_id")
         moved = again.withColumn("start", remap(F.col("start"), F.col("origin")).cast("int")).withColumn("end", remap(F.col("end"), F.col("origin")).cast("int"))
         found = found.unionByName(moved.withColumn("value", F.expr("substring(text, start + 1, end - start)")).select(*SPAN))
+    at = F.col("doc_id.at")
+    found = found.select(F.col("doc_id.id").alias("doc_id"), "label", (F.col("start") + at).alias("start"), (F.col("end") + at).alias("end"), "score", "value")
     if model_spans is not None:
         shaped = filters.drop_product_names(filters.resolve_uuids(filters.drop_quads(filters.geo(model_spans)), texts))
         found = found.unionByName(combine.dedupe(filters.above_cut(shaped, cuts)).join(texts, "doc_id").withColumn("value", F.expr("substring(text, start + 1, end - start)")).select(*SPAN))
