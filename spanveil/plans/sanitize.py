@@ -58,9 +58,20 @@ def find(docs: DataFrame, recognizers: Iterable[Recognizer] = PACK, model_spans:
 
 
 def sanitize(docs: DataFrame, spans: DataFrame, salt: str = "") -> tuple[DataFrame, DataFrame]:
-    """Masked texts (session_id, seq, text, masked) and the vault. ``docs``: session_id, seq, doc_id, text."""
+    """Masked texts (session_id, seq, text, masked) and the vault. ``docs``: session_id, seq, doc_id, text.
+
+    Values that an earlier text of the session masked are masked wherever they stand as whole words.
+    """
     texts = docs.withColumn("text", escape_placeholders(F.col("text")))
-    placed = spans.join(docs.select("session_id", "seq", "doc_id"), "doc_id").persist(StorageLevel.MEMORY_AND_DISK)
+    rows = docs.select("session_id", "seq", "doc_id")
+    found = spans.join(rows, "doc_id").persist(StorageLevel.MEMORY_AND_DISK)
+    earlier = found.groupBy("session_id", "label", "value").agg(F.min("seq").alias("first_seq"))
+    # Sessions of one text have nothing earlier.
+    later = texts.join(earlier.groupBy("session_id").agg(F.min("first_seq").alias("_least")), "session_id").where(F.col("seq") > F.col("_least")).drop("_least")
+    known = vault.known_values(later, earlier).join(rows, ["session_id", "seq"])
+    both = combine.merge(spans.select(*SPAN).drop("value").unionByName(known.select(*SPAN).drop("value")))
+    value = F.expr("substring(text, start + 1, end - start)")
+    placed = both.join(texts.select("session_id", "seq", "doc_id", "text"), "doc_id").withColumn("value", value).drop("text").persist(StorageLevel.MEMORY_AND_DISK)
     entries = vault.allocate(placed, salt=salt)
     masked = vault.mask(texts, placed, entries)
     return masked.withColumn("text", unescape_placeholders(F.col("text"))), entries
