@@ -15,14 +15,14 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is joined to the smallest of the node and its neighbours."""
     near = _both_ways(edges)
-    least = near.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("m"))
+    least = written(near.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("m")), "least")
     return near.join(least, F.col("a") == F.col("node")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every smaller neighbour of a node, and the node, is joined to the smallest."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
-    least = down.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
+    least = written(down.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")), "least")
     moved = down.join(least, F.col("a") == F.col("node")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select(F.col("node").alias("a"), F.col("m").alias("b"))).distinct()
 
@@ -30,7 +30,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(a, root) for every node of the edges (a, b) but the roots themselves; a root is its component's least node.
 
-    Each round is written to the shared folder. Nodes of any degree are fine: only minima are gathered per node.
+    Each round is written to the shared folder. Nodes of any degree are fine: only minima are gathered per node, and they
+    are read from a table, so that adaptive execution can split a node's edges in the join with them.
     """
 
     def state(e: DataFrame) -> tuple:
