@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -59,16 +60,36 @@ def features_in(words: list[bytes]) -> dict[bytes, float]:
     return {f: n * scale for f, n in counts.items()}
 
 
-def swaps(text: str, per_term: int = 2) -> list[dict[bytes, float]]:
+@dataclass
+class Example:
+    """What a labelled text is fitted on, compact: its distinct words, parted by spaces, with their counts, and its sentences that name a group, each with where it stands."""
+
+    held: bytes
+    counts: np.ndarray
+    sentences: list[tuple[str, int]]
+    toxic: int
+
+    @classmethod
+    def of(cls, text: str, toxic: int) -> Example:
+        named = [(m.group(), sum(m.span())) for m in SENTENCE.finditer(text) if any(w.decode("utf-8", "replace") in KIND for w in words_of(m.group()))]
+        counts = Counter(words_of(text))
+        return cls(b" ".join(counts), np.fromiter(counts.values(), np.int32, len(counts)), named, toxic)
+
+    @property
+    def words(self) -> dict[bytes, int]:
+        return dict(zip(self.held.split(), self.counts.tolist()))
+
+
+def swaps(sentences: list[tuple[str, int]], per_term: int = 2) -> list[dict[bytes, float]]:
     """Counterfactual sentences: how features change when one identity term in a sentence becomes another."""
     found = []
-    for match in SENTENCE.finditer(text):
-        words = words_of(match.group())
+    for sentence, place in sentences:
+        words = words_of(sentence)
         for term in dict.fromkeys(words):
             kind = KIND.get(term.decode("utf-8", "replace"))
             if kind:
                 others = [t for t in IDENTITY_TERMS[kind] if t.encode() != term]
-                first = sum(match.span()) % len(others)
+                first = place % len(others)
                 for k in range(per_term):
                     other = others[(first + k * 3) % len(others)].encode()
                     was, now = features_in(words), features_in([other if w == term else w for w in words])
@@ -100,11 +121,11 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(margins, -50, 50)))
 
 
-def _choose(rows: list[tuple[str, int]], labels: np.ndarray, min_docs: int) -> set[int]:
+def _choose(rows: list[Example], labels: np.ndarray, min_docs: int) -> set[int]:
     """Hashes of the features whose document counts differ most between the classes, by log-likelihood ratio."""
     gathered: tuple[list, list] = ([], [])
-    for (text, _), y in zip(rows, labels):
-        found = {xxhash.xxh3_64_intdigest(f) for w in set(words_of(text)) for f in features_of(w)}
+    for row, y in zip(rows, labels):
+        found = {xxhash.xxh3_64_intdigest(f) for w in row.words for f in features_of(w)}
         gathered[int(y)].append(np.fromiter(found, np.uint64, len(found)))
     (clean, b), (toxic, a) = (np.unique(np.concatenate(g), return_counts=True) for g in gathered)
     every = np.union1d(clean, toxic)
@@ -119,13 +140,14 @@ def _choose(rows: list[tuple[str, int]], labels: np.ndarray, min_docs: int) -> s
     return set(every[np.lexsort((every, -ratio))[:FEATURES]].tolist())
 
 
-def fit(rows: list[tuple[str, int]], prior: float, counterfactual: float = 5.0, sparsity: float = 3e-5, rounds: int = 300, min_docs: int = 2) -> Model:
+def fit(rows: list[tuple[str, int]] | list[Example], prior: float, counterfactual: float = 5.0, sparsity: float = 3e-5, rounds: int = 300, min_docs: int = 2) -> Model:
     """Accelerated proximal gradient on logistic loss + L1 + ``counterfactual`` x mean squared score change of swaps.
 
     ``prior`` is the share of toxic rows among all labelled ones: the rows fitted on may hold more, and the bias is
     moved accordingly. Without rows of both classes every text gets the prior.
     """
-    labels = np.array([y for _, y in rows], float)
+    rows = [r if isinstance(r, Example) else Example.of(*r) for r in rows]
+    labels = np.array([r.toxic for r in rows], float)
     if not len(rows) or labels.min() == labels.max():
         return Model({}, float(np.log(max(prior, 1e-9) / max(1 - prior, 1e-9))))
     chosen = _choose(rows, labels, min_docs)
@@ -146,17 +168,16 @@ def fit(rows: list[tuple[str, int]], prior: float, counterfactual: float = 5.0,
         return held
 
     rows_at, cols, values = [], [], []
-    for i, (text, _) in enumerate(rows):
-        words = words_of(text)
+    for i, example in enumerate(rows):
         counts: Counter = Counter()
-        for word, k in Counter(words).items():
+        for word, k in example.words.items():
             for c in columns_of(word):
                 counts[c] += k
         rows_at.append(np.full(len(counts), i))
         cols.append(np.fromiter(counts.keys(), np.int64, len(counts)))
-        values.append(np.fromiter(counts.values(), float, len(counts)) / np.sqrt(len(words) + 10))
+        values.append(np.fromiter(counts.values(), float, len(counts)) / np.sqrt(example.counts.sum() + 10))
     row, col, value = (np.concatenate(x) for x in (rows_at, cols, values))
-    pairs = [pair for text, _ in rows for pair in swaps(text)]
+    pairs = [pair for example in rows for pair in swaps(example.sentences)]
     cells = [(i, at[f], v) for i, pair in enumerate(pairs) for f, v in sorted(pair.items()) if f in at]
     swap_row, swap_col, swap_value = (np.array([c[k] for c in cells], kind) for k, kind in enumerate((np.int64, np.int64, float)))
     n, m, d = len(rows), max(1, len(pairs)), len(names)
@@ -198,7 +219,8 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on at most ``rows_per_class`` labelled rows of each class that aren't held out.
 
-    A document labelled more than once takes its highest label; rows without a label or an id aren't used.
+    A document labelled more than once takes its highest label; rows without a label or an id aren't used; of rows that
+    share an id the least text is used. Word counts come to the driver, one row an id, not texts.
     """
     usable = (
         labels.select(F.col(id_col).alias("labelled"), F.col("toxic").cast("int").alias("toxic"))
@@ -213,7 +235,21 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = FIT_ROWS, id
         chosen = part if chosen is None else chosen.unionByName(part)
     # At most 2 x rows_per_class ids: a bound that doesn't grow with the labels.
     picked = id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled"))
-    rows = [(r["text"], int(r["toxic"] > 0)) for r in picked.select("doc_id", "text", "toxic").orderBy("doc_id", "text").collect()]
+    one = picked.groupBy("labelled").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+
+    def reduced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [Example.of(t, int(y > 0)) for t, y in zip(batch["text"], batch["toxic"])]
+            yield pd.DataFrame({
+                "labelled": batch["labelled"], "held": [x.held for x in found], "counts": [x.counts.tobytes() for x in found],
+                "sentences": [[t for t, _ in x.sentences] for x in found], "places": [[k for _, k in x.sentences] for x in found], "toxic": [x.toxic for x in found],
+            })
+
+    kind = one.schema["labelled"].dataType.simpleString()
+    shape = f"labelled {kind}, held binary, counts binary, sentences array<string>, places array<int>, toxic int"
+    rows = one.mapInPandas(reduced, shape).collect()
+    rows.sort(key=lambda r: str(r["labelled"]))
+    rows = [Example(bytes(r["held"]), np.frombuffer(bytes(r["counts"]), np.int32), list(zip(r["sentences"], r["places"])), r["toxic"]) for r in rows]
     return fit(rows, counts.get(True, 0) / total if total else 0.0)
 
 
