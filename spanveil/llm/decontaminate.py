@@ -17,8 +17,11 @@ from .fmindex import FMIndex
 WINDOW = 10
 #: Words of documents that one index covers (a longer document has an index of its own).
 SHARD_WORDS = 400_000
-#: Bytes of benchmark text broadcast as one block; a larger benchmark is searched block after block.
-BLOCK_BYTES = 32 << 20
+#: Bytes of benchmark text broadcast as one block; a larger benchmark is searched block after block. Its windows take
+#: some hundred bytes for each of its words, in the driver and in every Python worker that has the block in hand.
+BLOCK_BYTES = 2 << 20
+#: Shards that a task holds while blocks take turns.
+SHARDS_HELD = 4
 
 #: Lower-cases A-Z and turns every byte that can't be in a word into a space.
 FOLD = bytes(
@@ -108,47 +111,52 @@ def merged(places: np.ndarray) -> list[tuple[int, int]]:
 
 def _scan(blocks: list):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def finish(rows: list[int], shard: list[list[bytes]], batch: pa.RecordBatch) -> pa.RecordBatch:
-            hits = [np.empty(0, np.int64) for _ in shard]
-            items: list[set[str]] = [set() for _ in shard]
+        def finish(first: int, shards: list[list[list[bytes]]], batch: pa.RecordBatch) -> pa.RecordBatch:
+            hits = [[np.empty(0, np.int64)] * len(shard) for shard in shards]
+            items: list[list[set[str]]] = [[set() for _ in shard] for shard in shards]
             for block in blocks:
-                more, also = search_shard(shard, block.value)
+                value = block.value
+                for k, shard in enumerate(shards):
+                    more, also = search_shard(shard, value)
+                    for i in range(len(shard)):
+                        if len(more[i]):
+                            hits[k][i] = np.union1d(hits[k][i], more[i])
+                            items[k][i] |= also[i]
                 if len(blocks) > 1:
                     block._value = None  # one block at a time in memory
                     del block._value
-                for i in range(len(shard)):
-                    if len(more[i]):
-                        hits[i] = np.union1d(hits[i], more[i])
-                        items[i] |= also[i]
+            words, found = [w for shard in shards for w in shard], [h for held in hits for h in held]
             spans = []
-            texts = batch.column(1)
-            for row, places in zip(rows, hits):
+            texts = batch.column(1).slice(first, len(words))
+            for row, places in enumerate(found):
                 at = [m.span() for m in WORD.finditer(texts[row].as_py())] if len(places) else []
                 spans.append([{"start": at[a][0], "end": at[b - 1][1]} for a, b in merged(places)])
             return pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).slice(rows[0], len(rows)),
-                    batch.column(1).slice(rows[0], len(rows)),
-                    pa.array([len(s) for s in shard], pa.int64()),
-                    pa.array([len(h) for h in hits], pa.int64()),
-                    pa.array([sorted(i) for i in items], pa.list_(pa.string())),
+                    batch.column(0).slice(first, len(words)),
+                    texts,
+                    pa.array([len(w) for w in words], pa.int64()),
+                    pa.array([len(h) for h in found], pa.int64()),
+                    pa.array([sorted(i) for held in items for i in held], pa.list_(pa.string())),
                     pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                 ],
                 ["doc", "text", "n_words", "n_hit", "items", "spans"],
             )
 
         for batch in batches:
-            rows, shard, held = [], [], 0
+            first, shards, held = 0, [[]], 0
             for row, text in enumerate(batch.column(1).cast(pa.binary())):
                 words = words_of(text.as_py())
-                rows.append(row)
-                shard.append(words)
+                shards[-1].append(words)
                 held += len(words)
                 if held >= SHARD_WORDS:
-                    yield finish(rows, shard, batch)
-                    rows, shard, held = [], [], 0
-            if rows:
-                yield finish(rows, shard, batch)
+                    if len(shards) >= SHARDS_HELD or len(blocks) == 1:
+                        yield finish(first, shards, batch)
+                        first, shards = row + 1, []
+                    shards.append([])
+                    held = 0
+            if first < len(batch):
+                yield finish(first, shards, batch)
 
     return scan
 
@@ -171,7 +179,7 @@ def benchmark_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col:
     return made
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of ``docs``: doc_id, text, n_words, n_hit, items (ids, sorted as strings), spans.
 
     ``spans`` are the merged ranges of hit words in code points, for removal. A null or empty text has no words.
@@ -181,7 +189,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     base = id_and_text(docs, id_col, text_col)
     kind = base.schema["doc_id"].dataType.simpleString()
     found = base.mapInArrow(
-        _scan(benchmark_blocks(benchmark)),
+        _scan(benchmark_blocks(benchmark, block_bytes=block_bytes)),
         f"doc {kind}, text string, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,end:bigint>>",
     )
     return found.withColumnRenamed("doc", "doc_id")
