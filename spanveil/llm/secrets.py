@@ -35,25 +35,25 @@ FEATURES = [
 
 
 def _share(value: Column, kind: str) -> Column:
-    return F.regexp_count(value, F.lit(kind)) / F.length(value)
+    return F.try_divide(F.regexp_count(value, F.lit(kind)), F.length(value))
 
 
 def features(findings: DataFrame) -> DataFrame:
-    """Adds the forest's features to findings (value, before, after)."""
+    """Adds the forest's features to findings (value, before, after). An empty or null value has zeros for shares; lengths count up to 128."""
     value, before = F.col("value"), F.lower("before")
     low = F.lower(value)
     last = F.rtrim(F.col("before"))
     cells = {
-        "f_length": F.least(F.length(value), F.lit(128)).cast("double"),
+        "f_length": F.least(F.coalesce(F.length(value), F.lit(0)), F.lit(128)).cast("double"),
         "f_digits": _share(value, "[0-9]"),
         "f_upper": _share(value, "[A-Z]"),
         "f_lower": _share(value, "[a-z]"),
         "f_symbols": _share(value, "[^A-Za-z0-9]"),
-        "f_transitions": F.regexp_count(value, F.lit("(?<=[a-z])[^a-z]|(?<=[A-Z])[^A-Z]|(?<=[0-9])[^0-9]")) / F.length(value),
-        "f_distinct": F.size(F.array_distinct(F.split(value, ""))) / F.length(value),
-        "f_repeats": F.regexp_count(value, F.lit(r"(.)\1\1")) / F.length(value),
+        "f_transitions": _share(value, "(?<=[a-z])[^a-z]|(?<=[A-Z])[^A-Z]|(?<=[0-9])[^0-9]"),
+        "f_distinct": F.try_divide(F.size(F.array_distinct(F.split(value, ""))), F.length(value)),
+        "f_repeats": _share(value, r"(.)\1\1"),
         "f_hex": value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$").cast("double"),
-        "f_dictionary": 1 - F.length(F.regexp_replace(low, "|".join(sorted(DICTIONARY, key=len, reverse=True)), "")) / F.length(value),
+        "f_dictionary": 1 - F.try_divide(F.length(F.regexp_replace(low, "|".join(sorted(DICTIONARY, key=len, reverse=True)), "")), F.length(value)),
         "f_path": F.regexp_count(value, F.lit("[/.]")).cast("double"),
         "f_extension": value.rlike(r"\.[A-Za-z][A-Za-z0-9]{1,4}$").cast("double"),
         "f_issued": value.rlike(ISSUED).cast("double"),
@@ -94,8 +94,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return one.where(F.col("value").rlike("[A-Za-z0-9]") & ~F.col("value").rlike(r"^(.)\1*+$")).withColumn("end", F.col("start") + F.length("value"))
 
 
-def labelled_findings(spark: SparkSession, each: int = 160) -> DataFrame:
-    """Findings (value, before, after, label) made by rule: ``each`` of every kind of secret and of look-alike."""
+def labelled_findings(spark: SparkSession, each: int = 160, first: int = 0) -> DataFrame:
+    """Findings (value, before, after, label) made by rule: ``each`` of every kind of secret and of look-alike, numbered from ``first``."""
     n = F.col("id").cast("string")
     hexes = lambda tag, k: F.substring(F.sha2(F.concat(F.lit(tag), n), 512), 1, k)
     b64 = lambda tag, k: F.substring(F.translate(F.base64(F.unhex(F.sha2(F.concat(F.lit(tag), n), 512))), "+/=", "xYz"), 1, k)
@@ -134,7 +134,7 @@ def labelled_findings(spark: SparkSession, each: int = 160) -> DataFrame:
         (0, F.concat(pick("z1", "inter", "trans", "under", "ver", "re", "con"), pick("z2", "nation", "form", "stand", "ant", "duc"), pick("z3", "alis", "ation", "ing", "wort", "tif"), pick("z4", "ierung", "ement", "ability", "ically", "lichkeit")), pick("zb", "the ", "die ", "of ", "and ", "secret of the "), pick("za", " ", ".", ",", "\n")),
         (0, F.concat(word("aa", 1), pick("as", "_", "-", "/", "."), word("aa", 2), pick("as", "_", "-", "/", "."), word("aa", 3)), pick("ab2", "the ", "call ", "in ", "token ", "key = "), pick("ac", " ", "(", "=", "\n")),
     ]
-    ids = spark.range(each)
+    ids = spark.range(first, first + each)
     made = None
     for label, value, before, after in kinds:
         part = ids.select(value.alias("value"), before.alias("before"), after.alias("after"), F.lit(float(label)).alias("label"))
@@ -143,7 +143,14 @@ def labelled_findings(spark: SparkSession, each: int = 160) -> DataFrame:
 
 
 def train(findings: DataFrame, trees: int = 40, depth: int = 8, seed: int = 7) -> RandomForestClassificationModel:
-    """A forest fitted on labelled findings (value, before, after, label)."""
+    """A forest fitted on labelled findings (value, before, after, label); rows without a label aren't used.
+
+    Findings that don't hold both labels, as an empty table, can't tell secrets from others: those of
+    ``labelled_findings`` are added to them.
+    """
+    findings = findings.where("label IS NOT NULL")
+    if findings.agg(F.count_distinct("label")).first()[0] < 2:
+        findings = findings.select("value", "before", "after", "label").unionByName(labelled_findings(findings.sparkSession))
     # Few rows, read many times: written once, in few files.
     held = written(features(findings).select(*FEATURES, "label").coalesce(2), "findings")
     rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(held)
@@ -153,7 +160,9 @@ def train(findings: DataFrame, trees: int = 40, depth: int = 8, seed: int = 7) -
 def secret_scan(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per candidate: doc_id, start, end (code points), value_sha256, score, secret.
 
-    The value itself isn't returned. A null or empty text has no candidates; a null id is passed through; repeated
+    A candidate is a value of 4 to 256 characters assigned to a credential's name, or a run of 16 or more key characters;
+    a shorter value with no such name before it is none, nor is one character over and over. The value itself isn't
+    returned. A null or empty text has no candidates; a null id is passed through; repeated
     rows give repeated findings; an empty table gives none. Other columns are ignored, whatever their names.
     """
     model = train(findings if findings is not None else labelled_findings(docs.sparkSession))
