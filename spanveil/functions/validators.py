@@ -112,22 +112,23 @@ def basic(value: Column) -> Column:
     return F.coalesce(canonical & parts, F.lit(False))
 
 
-# Words that stand where a password would, and shapes of such words.
+# Words that stand where a credential would, and shapes of masks and placeholders.
 STAND_INS = [
-    "password", "passwd", "pass", "secret", "token", "changeme", "change_me", "example", "placeholder", "redacted", "hidden", "masked", "none", "null",
-    "undefined", "true", "false", "empty", "test", "testing", "dummy", "sample", "todo", "xxx", "value", "string", "user", "username", "admin", "root",
-    "foo", "bar", "baz", "default", "required", "optional", "unset", "removed",
+    "string", "str", "bytes", "number", "int", "integer", "boolean", "bool", "none", "null", "nil", "true", "false", "undefined", "required", "optional",
+    "any", "object", "secretstr", "text", "varchar", "password", "token", "secret", "hidden", "redacted", "masked", "changeme", "example", "value", "env",
+    "type", "char", "function", "func", "lambda", "self", "this", "new", "await", "return", "get", "set", "default", "buffer", "uuid", "date", "datetime",
+    "list", "dict",
 ]
-STAND_IN_SHAPE = r"^(?:[*xX.•#_-]+|<.*>|\$\{?.*|%\(.*|%[A-Z_]+%|\{\{.*|your[_-].*|my[_-].*|.*[_-]here)$"
+MASKED, PLACEHOLDERS = r"^[xX*.#_-]+\z", r"(?i)^(?:your|my|the|some)[_-]?\w*\z|_here\z"
 
 
 def stand_in(value: Column) -> Column:
     """True for a value that only stands where a secret would."""
-    return F.lower(value).isin(STAND_INS) | value.rlike("(?i)" + STAND_IN_SHAPE)
+    return F.regexp_replace(F.lower(value), "[?!]+$", "").isin(STAND_INS) | value.rlike(MASKED) | value.rlike(PLACEHOLDERS)
 
 
 def userinfo(value: Column) -> Column:
-    return ~value.rlike(r"^(?:\$|%\()") & ~stand_in(value)
+    return ~value.rlike(r"^(?:\$|%\(|<.*>|\{\{)") & ~stand_in(value)
 
 
 def letter_digit(value: Column) -> Column:

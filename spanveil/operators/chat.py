@@ -14,7 +14,7 @@ STRUCTURAL = {"type", "role", "id", "tool_use_id", "tool_call_id", "name", "mode
 OPAQUE_BLOCKS = {"thinking", "redacted_thinking"}
 UNSCANNED_BLOCKS = {"image", "document", "image_url", "input_audio", "file"}
 RESTORE_TOOLS = ["Read", "Edit", "MultiEdit", "Write", "NotebookEdit", "Grep", "Glob", "apply_patch"]
-SHELL_TOOLS = {"Bash", "shell", "local_shell", "exec_command", "run_terminal_cmd", "terminal"}
+SHELL_TOOLS = {"Bash", "bash", "shell", "PowerShell", "exec_command", "shell_command", "write_stdin"}
 SCHEMA_TEXT, SCHEMA_DATA = {"description", "title", "$comment"}, {"default", "const", "enum", "examples", "example"}
 
 

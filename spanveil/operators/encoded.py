@@ -8,21 +8,28 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import with_normalised
 from .detect import matches
 
 SCORE = 0.99999
-RUN = r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{24,}+={0,2}(?![A-Za-z0-9+/=])"
-KEY = r"(?:ghp_|gho_|ghs_|sk-|sk_live_|AKIA|xox[abprs]-|glpat-|npm_|hf_|AIza)[A-Za-z0-9_\-]{8,}"
+# An encoded run, and what its text must hold to be masked.
+RUN = r"[A-Za-z0-9+/]{24,}={0,2}"
+KEY = r"\b(?:sk-[A-Za-z0-9_\-]{16,}|ghp_[A-Za-z0-9]{20,}|gho_[A-Za-z0-9]{20,}|AKIA[A-Z0-9]{16}|xox[abp]-[A-Za-z0-9-]{10,}|ya29\.[A-Za-z0-9_\-]{20,})"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 
 
 def base64_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, label, score, start, end, value): encoded runs whose text is an e-mail, a key or a long number."""
+    """(doc_id, label, score, start, end, value): encoded runs whose text, normalised, holds an e-mail, a key or a long number.
+
+    Bytes that aren't UTF-8 are replaced; a text with control characters is none.
+    """
     gated = docs.where(F.col("text").rlike(r"[A-Za-z0-9+/]{24}"))
     runs = gated.select("doc_id", F.explode(matches(F.col("text"), RUN)).alias("m")).where(F.length("m.value") % 4 == 0)
-    plain = runs.withColumn("plain", F.try_validate_utf8(F.try_to_binary(F.col("m.value"), F.lit("base64")).cast("string")))
+    plain = runs.withColumn("plain", F.make_valid_utf8(F.try_to_binary(F.col("m.value"), F.lit("base64")).cast("string")))
     plain = plain.where((F.length("plain") >= 6) & ~F.col("plain").rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"))
-    label = F.when(F.col("plain").rlike(EMAIL), "private_email").when(F.col("plain").rlike(KEY), "secret").when(F.col("plain").rlike(r"(?<!\d)\d{13,19}(?!\d)"), "account_number")
+    plain = with_normalised(plain, "plain")
+    inner = F.col("normalised")
+    label = F.when(inner.rlike(EMAIL), "private_email").when(inner.rlike(KEY), "secret").when(inner.rlike(r"\d{13,19}"), "account_number")
     return plain.withColumn("label", label).where("label IS NOT NULL").select("doc_id", "label", F.lit(SCORE).alias("score"), "m.start", "m.end", "m.value")
 
 

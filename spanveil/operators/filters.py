@@ -12,15 +12,19 @@ from .detect import matches
 DISABLED = ["private_organization", "private_occupation", "private_demographic", "private_sensitive", "private_title", "private_date"]
 CUTS = {"private_ip": 0.5, "private_mac": 0.5, "private_date": 0.125, "private_email": 0.075}
 DECODE_CUT, POST_CUT = 0.05, 0.0
-AGENT_READABLE = ["private_organization", "private_occupation", "private_demographic", "private_sensitive", "private_title", "private_date"]
+AGENT_READABLE = DISABLED
 
-DMS = r"\d{1,3}°\s?\d{1,2}['′]"
-QUAD = r"^(?:\d{1,3}\.){3}\d{1,3}$"
-UUID = r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$"
+# Shapes by which model spans and dates are relabelled or dropped. Stray punctuation may stand around a value.
+DMS = r"\d{1,3}\s*°\s*\d{1,2}\s*['′]"
+PAIR = r"(-?\d{1,3}\.\d+)\s*[,;]\s*(-?\d{1,3}(?:\.\d+)?)|(-?\d{1,3}(?:\.\d+)?)\s*[,;]\s*(-?\d{1,3}\.\d+)"
+QUAD = r"^\W*\d{1,3}(?:\.\d{1,3}){3}\W*\z"
+UUID = r"(?i)^\W*[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}\W*\z"
 CREDENTIAL_KEY = r"(?i)(?:api[_-]?key|apikey|access[_-]?key|secret|token|password|passwd|client[_-]?secret|auth)[\"']?\s*[:=]\s*[\"']?$"
-PRODUCT_NAMES = r"^(?i:claude|chatgpt|copilot|gemini|llama|mistral|cursor|siri|alexa|cortana)(?:[ -]?\d+(?:\.\d+)?)?$"
-DIGEST = r"sha(?:1|256|384|512)-[A-Za-z0-9+/]{27,88}={0,2}"
-STAMP = r"(?m)^\[?\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:[.,]\d{1,9})?(?:Z|[+-]\d{2}:?\d{2})?\]?(?=.{0,24}?(?:TRACE|DEBUG|INFO|WARN|ERROR|FATAL))"
+PRODUCT_NAMES = r"(?i)^\W*claude(?:[ -](?:code|desktop|api|agent(?: sdk)?|opus|sonnet|haiku|fable)(?:[ -]\d+(?:\.\d+)*)?)?\W*\z"
+DIGEST = r"\b(?:sha1|sha256|sha384|sha512)-[A-Za-z0-9+/]{20,}={0,2}"
+LEVELS = "TRACE|DEBUG|INFO|NOTICE|WARN|WARNING|ERROR|ERR|FATAL|CRITICAL"
+CLOCK, ZONE = r"\d{2}:\d{2}:\d{2}(?:[.,]\d+)?", r"(?:Z|[+-]\d{2}:?\d{2})?"
+STAMP = rf"(?m)(?<=^[ \t]{{0,64}}\[?)\d{{4}}-\d{{2}}-\d{{2}}(?: {CLOCK}|T{CLOCK}|T\d{{2}}:\d{{2}}){ZONE}(?=\]?[^\n]{{0,24}}?\b(?:{LEVELS})\b)"
 
 
 def enabled(spans: DataFrame, disabled: list[str] = DISABLED) -> DataFrame:
@@ -46,9 +50,10 @@ def decode_cut(label: Column, cuts: dict[str, float] = CUTS, disabled: list[str]
 
 
 def geo(spans: DataFrame) -> DataFrame:
-    """Places in degrees or as an in-range pair stay; dotted quads go; any other is an address."""
+    """Places in degrees, or with a pair in range of which one number at least has decimals, stay; dotted quads go; any other is an address."""
     place = F.col("label") == "private_geolocation"
-    kept = F.col("value").rlike(DMS) | lat_lon(F.col("value"))
+    part = lambda one, other: F.concat(F.regexp_extract("value", PAIR, one), F.regexp_extract("value", PAIR, other))
+    kept = F.col("value").rlike(DMS) | lat_lon(F.concat(part(1, 3), F.lit(","), part(2, 4)))
     return spans.where(~(place & F.col("value").rlike(QUAD))).withColumn("label", F.when(place & ~kept, "private_address").otherwise(F.col("label")))
 
 
@@ -68,6 +73,7 @@ def resolve_uuids(spans: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def drop_product_names(spans: DataFrame) -> DataFrame:
+    """Without persons that are only the name of an assistant or of one of its products."""
     return spans.where(~((F.col("label") == "private_person") & F.col("value").rlike(PRODUCT_NAMES)))
 
 

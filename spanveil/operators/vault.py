@@ -85,12 +85,14 @@ def restore(replies: DataFrame, vault: DataFrame, session: str = "session_id", s
 def known_values(texts: DataFrame, vault_of_earlier: DataFrame, session: str = "session_id", seq: str = "seq") -> DataFrame:
     """Whole-word occurrences, overlapping ones too, of values that an earlier text of the session masked.
 
+    An edge of the value that is a letter, digit or underscore must not touch another one; any other edge may touch anything.
     ``vault_of_earlier``: session, first_seq, label, value. Joined by session, and only where the text holds the value.
     """
     v = vault_of_earlier.where(F.length("value") >= MIN_KNOWN)
     joined = texts.join(v, session).where((F.col("first_seq") < F.col(seq)) & F.col("text").contains(F.col("value")))
     places = F.expr(r"""filter(transform(sequence(1, length(text) - length(value) + 1), p -> IF(substring(text, p, length(value)) = value
-        AND NOT substring(text, p - 1, IF(p > 1, 1, 0)) RLIKE '^[\\p{L}\\p{N}_]$' AND NOT substring(text, p + length(value), 1) RLIKE '^[\\p{L}\\p{N}_]$', p, NULL)), p -> p IS NOT NULL)""")
+        AND NOT (value RLIKE '^[\\p{L}\\p{N}_]' AND substring(text, p - 1, IF(p > 1, 1, 0)) RLIKE '^[\\p{L}\\p{N}_]$')
+        AND NOT (value RLIKE '[\\p{L}\\p{N}_]\\z' AND substring(text, p + length(value), 1) RLIKE '^[\\p{L}\\p{N}_]$'), p, NULL)), p -> p IS NOT NULL)""")
     rows = joined.select(session, seq, "label", "value", F.explode(places).alias("p"))
     return rows.select(session, seq, "label", "value", (F.col("p") - 1).alias("start"), (F.col("p") - 1 + F.length("value")).alias("end"), F.lit(1.0).alias("score"))
 

@@ -30,6 +30,9 @@ def find(docs: DataFrame, recognizers: Iterable[Recognizer] = PACK, model_spans:
     parts = windows.segments(texts).select(F.struct(F.col("doc_id").alias("id"), F.col("start").alias("at")).alias("doc_id"), "text", F.col("end").alias("upto"))
     model = None
     if model_spans is not None:
+        # Shaped and cut before any pattern defers to them: what is dropped later must not silence another span.
+        shaped = filters.drop_product_names(filters.resolve_uuids(filters.drop_quads(filters.geo(model_spans)), texts))
+        model_spans = combine.dedupe(filters.above_cut(filters.enabled(shaped, disabled), cuts))
         inside = parts.select(F.col("doc_id").alias("part"), F.col("doc_id.id").alias("doc_id"), F.col("doc_id.at").alias("at"), "upto").join(model_spans, "doc_id")
         inside = inside.where((F.col("end") > F.col("at")) & (F.col("start") < F.col("upto")))
         model = inside.select(F.col("part").alias("doc_id"), (F.col("start") - F.col("at")).alias("start"), (F.col("end") - F.col("at")).alias("end"))
@@ -43,8 +46,7 @@ def find(docs: DataFrame, recognizers: Iterable[Recognizer] = PACK, model_spans:
     at = F.col("doc_id.at")
     found = found.select(F.col("doc_id.id").alias("doc_id"), "label", (F.col("start") + at).alias("start"), (F.col("end") + at).alias("end"), "score", "value")
     if model_spans is not None:
-        shaped = filters.drop_product_names(filters.resolve_uuids(filters.drop_quads(filters.geo(model_spans)), texts))
-        found = found.unionByName(combine.dedupe(filters.above_cut(shaped, cuts)).join(texts, "doc_id").withColumn("value", F.expr("substring(text, start + 1, end - start)")).select(*SPAN))
+        found = found.unionByName(model_spans.join(texts, "doc_id").withColumn("value", F.expr("substring(text, start + 1, end - start)")).select(*SPAN))
     found = filters.above_cut(filters.enabled(found, disabled), cuts)
     found = filters.drop_log_stamps(filters.drop_in_digests(found, texts), texts)
     # Spans are few beside their texts and read by several branches from here on: held, spilling to disk, instead of
@@ -60,6 +62,7 @@ def find(docs: DataFrame, recognizers: Iterable[Recognizer] = PACK, model_spans:
 def sanitize(docs: DataFrame, spans: DataFrame, salt: str = "") -> tuple[DataFrame, DataFrame]:
     """Masked texts (session_id, seq, text, masked) and the vault. ``docs``: session_id, seq, doc_id, text.
 
+    Literal double braces are escaped while texts are masked and stand as they were in what comes out, values too.
     Values that an earlier text of the session masked are masked wherever they stand as whole words.
     """
     texts = docs.withColumn("text", escape_placeholders(F.col("text")))
@@ -74,7 +77,8 @@ def sanitize(docs: DataFrame, spans: DataFrame, salt: str = "") -> tuple[DataFra
     placed = both.join(texts.select("session_id", "seq", "doc_id", "text"), "doc_id").withColumn("value", value).drop("text").persist(StorageLevel.MEMORY_AND_DISK)
     entries = vault.allocate(placed, salt=salt)
     masked = vault.mask(texts, placed, entries)
-    return masked.withColumn("text", unescape_placeholders(F.col("text"))), entries
+    plain = {c: unescape_placeholders(F.col(c)) for c in ("text", "masked")}
+    return masked.withColumns(plain), entries.withColumn("value", unescape_placeholders(F.col("value")))
 
 
 def round_trip(masked: DataFrame, entries: DataFrame, salt: str = "") -> DataFrame:
