@@ -81,7 +81,7 @@ def join_addresses(spans: DataFrame, texts: DataFrame, label: str = "private_add
 
 def merge_adjacent(spans: DataFrame, gap: int = 1) -> DataFrame:
     """Spans of one label at most ``gap`` characters apart become one."""
-    w = W.partitionBy("doc_id").orderBy("start", "end")
+    w = W.partitionBy("doc_id").orderBy("start", "end", "label")
     near = (F.lag("label").over(w) == F.col("label")) & (F.col("start") - F.lag("end").over(w) <= gap)
     rows = spans.withColumn("_new", F.when(near, 0).otherwise(1))
     rows = rows.withColumn("_run", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))

@@ -64,9 +64,13 @@ def _fold(gold: list[tuple], predicted: list[tuple], best: bool) -> tuple[int, i
     return tp, len(predicted) - tp, len(gold) - tp
 
 
-def partial_counts(gold: DataFrame, predicted: DataFrame, best: bool = True) -> DataFrame:
-    """(label, tp, fp, fn) by overlap: a fold over each document's spans of a label."""
-    pair = F.struct("start", "end")
+def partial_counts(gold: DataFrame, predicted: DataFrame, best: bool = True, order: str | None = None) -> DataFrame:
+    """(label, tp, fp, fn) by overlap: a fold over each document's spans of a label.
+
+    Both sides are taken by place, unless they have a column ``order`` that says in which order they were given: which
+    span takes which depends on it.
+    """
+    pair = F.struct("start", "end") if order is None else F.struct(order, "start", "end")
     g = gold.groupBy("doc_id", "label").agg(F.array_sort(F.collect_list(pair)).alias("g"))
     p = predicted.groupBy("doc_id", "label").agg(F.array_sort(F.collect_list(pair)).alias("p"))
 
@@ -78,13 +82,35 @@ def partial_counts(gold: DataFrame, predicted: DataFrame, best: bool = True) ->
     return g.join(p, ["doc_id", "label"], "full").select("label", count("g", "p").alias("c")).groupBy("label").agg(*[F.sum(f"c.{x}").alias(x) for x in ("tp", "fp", "fn")])
 
 
-def char_counts(gold: DataFrame, predicted: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Per document the characters of gold, of predictions and of both: interval sums, no row per character."""
+def char_counts(gold: DataFrame, predicted: DataFrame, keys: tuple[str, ...] = ("doc_id",), ignore: DataFrame | None = None) -> DataFrame:
+    """Per document the characters of gold, of predictions and of both: interval sums, no row per character.
+
+    Predicted characters in a range of ``ignore`` (keys, start, end) that aren't gold count nowhere.
+    """
     g, p = covered(gold, keys), covered(predicted, keys)
     size = F.sum(F.col("end") - F.col("start"))
     hit = shared_chars(g, p, keys).withColumnRenamed("chars", "hit_chars")
     both = g.groupBy(*keys).agg(size.alias("gold_chars")).join(p.groupBy(*keys).agg(size.alias("pred_chars")), list(keys), "full")
-    return both.join(hit, list(keys), "left").na.fill(0, ["gold_chars", "pred_chars", "hit_chars"])
+    counts = both.join(hit, list(keys), "left").na.fill(0, ["gold_chars", "pred_chars", "hit_chars"])
+    if ignore is None:
+        return counts
+    # What predictions share with gold or ignored ranges, less what they share with gold.
+    ranges = (*keys, "start", "end")
+    either = covered(gold.select(*ranges).unionByName(ignore.select(*ranges)), keys)
+    spared = shared_chars(p, either, keys).withColumnRenamed("chars", "_either")
+    left = F.col("pred_chars") - F.coalesce(F.col("_either") - F.col("hit_chars"), F.lit(0))
+    return counts.join(spared, list(keys), "left").withColumn("pred_chars", left).drop("_either")
+
+
+def label_recall(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """(label, gold_chars, hit_chars, recall): the share of a label's characters that predictions of any label cover."""
+    g = covered(gold, ("doc_id", "label"))
+    p = covered(predicted).select("doc_id", F.col("start").alias("_start"), F.col("end").alias("_end"))
+    rows = g.join(p, "doc_id").where((F.col("start") < F.col("_end")) & (F.col("_start") < F.col("end")))
+    hit = rows.groupBy("label").agg(F.sum(F.least("end", "_end") - F.greatest("start", "_start")).alias("hit_chars"))
+    sizes = g.groupBy("label").agg(F.sum(F.col("end") - F.col("start")).alias("gold_chars"))
+    both = sizes.join(hit, "label", "left").na.fill(0, ["hit_chars"])
+    return both.select("label", "gold_chars", "hit_chars", F.round(F.col("hit_chars") / F.col("gold_chars"), 6).alias("recall"))
 
 
 def char_scores(counts: DataFrame, by: str) -> DataFrame:
@@ -162,21 +188,41 @@ def descend(sweeps: DataFrame, labels: list[str], grid: list[float], over_cap: f
     return cuts
 
 
-def bootstrap(counts: DataFrame, resamples: int = 1000, seed: int = 0, beta: float = 2.0) -> DataFrame:
-    """A percentile interval of F-beta by Poisson resampling of documents: counts (doc_id, gold_chars, pred_chars, hit_chars).
-
-    A document's weight in a resample depends on its id, the resample and the seed alone, so every tool scored with
-    the same seed sees the same resamples, and the sums are plain distributed aggregates.
-    """
+def _resampled(counts: DataFrame, resamples: int, seed: int, beta: float, unit: str) -> DataFrame:
+    """(r, f): F-beta of each resample, drawn by Poisson weights of the units."""
+    cells = ("hit_chars", "gold_chars", "pred_chars")
+    if unit != "doc_id":
+        counts = counts.groupBy(unit).agg(*[F.sum(c).alias(c) for c in cells])
     steps = np.cumsum([np.exp(-1) / float(np.prod(range(1, k + 1)) if k else 1) for k in range(8)]).tolist()
-    draw = F.pmod(F.xxhash64("doc_id", "r", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+    draw = F.pmod(F.xxhash64(unit, "r", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
     weight = F.lit(0)
     for s in steps:
         weight = weight + (draw >= s).cast("int")
     rows = counts.select("*", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r")).withColumn("w", weight)
-    sums = rows.groupBy("r").agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in ("hit_chars", "gold_chars", "pred_chars")])
-    f = sums.select(f_beta(F.col("hit_chars"), F.col("gold_chars"), F.col("pred_chars"), beta).alias("f"))
-    return f.agg(F.round(F.percentile("f", F.lit(0.025)), 6).alias("low"), F.round(F.avg("f"), 6).alias("mean"), F.round(F.percentile("f", F.lit(0.975)), 6).alias("high"))
+    sums = rows.groupBy("r").agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in cells])
+    return sums.select("r", f_beta(F.col("hit_chars"), F.col("gold_chars"), F.col("pred_chars"), beta).alias("f"))
+
+
+def _interval(value: str) -> list[Column]:
+    return [F.round(F.percentile(value, F.lit(0.025)), 6).alias("low"), F.round(F.avg(value), 6).alias("mean"), F.round(F.percentile(value, F.lit(0.975)), 6).alias("high")]
+
+
+def bootstrap(counts: DataFrame, resamples: int = 1000, seed: int = 0, beta: float = 2.0, unit: str = "doc_id") -> DataFrame:
+    """A percentile interval of F-beta by Poisson resampling of documents: counts (doc_id, gold_chars, pred_chars, hit_chars).
+
+    A document's weight in a resample depends on its id, the resample and the seed alone, so every tool scored with
+    the same seed sees the same resamples, and the sums are plain distributed aggregates. ``unit`` names a column whose
+    groups of documents (of one template or source) are drawn as a whole.
+    """
+    return _resampled(counts, resamples, seed, beta, unit).agg(*_interval("f"))
+
+
+def paired_difference(a: DataFrame, b: DataFrame, resamples: int = 1000, seed: int = 0, beta: float = 2.0, unit: str = "doc_id") -> DataFrame:
+    """(low, mean, high, a_better): the interval of F-beta of ``a`` less that of ``b`` over the same resamples, and the
+    share of them in which ``a`` is strictly better. Both hold counts of the same documents."""
+    one, two = (_resampled(x, resamples, seed, beta, unit) for x in (a, b))
+    rows = one.join(two.withColumnRenamed("f", "g"), "r").withColumn("d", F.col("f") - F.col("g"))
+    return rows.agg(*_interval("d"), F.round(F.avg((F.col("d") > 0).cast("double")), 6).alias("a_better"))
 
 
 def failures(gold: DataFrame, predicted: DataFrame, top: int = 20) -> DataFrame:

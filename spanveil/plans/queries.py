@@ -221,6 +221,17 @@ def masked_chars(spark: SparkSession, d: str) -> DataFrame:
     return combine.covered(wide(spark, d)).groupBy("doc_id").agg(F.sum(F.col("end") - F.col("start")).alias("chars"))
 
 
+ADJACENT_GAP = 40
+
+
+@query(f"""WITH m AS (SELECT *, CASE WHEN lag(label) OVER w = label AND start - lag(finish) OVER w <= {ADJACENT_GAP} THEN 0 ELSE 1 END AS fresh FROM ({BASIC_SQL}) WINDOW w AS (PARTITION BY doc_id ORDER BY start, finish, label)),
+    r AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY start, finish, label ROWS UNBOUNDED PRECEDING) AS run FROM m)
+    SELECT doc_id, any_value(label) AS label, CAST(min(start) AS BIGINT) AS "start", CAST(max(finish) AS BIGINT) AS "end", round(max(confidence), 6) AS score FROM r GROUP BY doc_id, run""")
+def adjacent_spans(spark: SparkSession, d: str) -> DataFrame:
+    spans = basic(spark, d).withColumnRenamed("confidence", "score")
+    return combine.merge_adjacent(spans, ADJACENT_GAP).withColumn("score", F.round("score", 6))
+
+
 @query()
 def greedy_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return combine.dedupe(wide(spark, d), across_labels=True)
@@ -392,6 +403,38 @@ def char_f2_by_lang(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.char_scores(char_rows(spark, d), "lang")
 
 
+CHARS_SQL = "unnest(range(CAST(s AS BIGINT), CAST(e AS BIGINT)))"
+
+
+@query(f"""WITH g AS (SELECT DISTINCT doc_id, label, {CHARS_SQL} AS c FROM ({GOLD_SQL})), p AS (SELECT DISTINCT doc_id AS pd, {CHARS_SQL} AS pc FROM ({PRED_SQL}))
+    SELECT label, count(*) AS gold_chars, count(pc) AS hit_chars, round(count(pc) / count(*), 6) AS recall FROM g LEFT JOIN p ON pd = doc_id AND pc = c GROUP BY label""")
+def char_recall_by_label(spark: SparkSession, d: str) -> DataFrame:
+    _, gold, pred = scored(spark, d)
+    return evaluate.label_recall(gold, pred)
+
+
+@query(f"""WITH g AS (SELECT DISTINCT doc_id, {CHARS_SQL} AS c FROM ({GOLD_SQL}) WHERE label <> 'private_phone'), i AS (SELECT DISTINCT doc_id, {CHARS_SQL} AS c FROM (SELECT doc_id, s - 5 AS s, e + 3 AS e FROM ({GOLD_SQL}) WHERE label = 'private_phone')),
+    q AS (SELECT DISTINCT doc_id, {CHARS_SQL} AS c FROM ({PRED_SQL})), p AS (FROM q EXCEPT (FROM i EXCEPT FROM g)),
+    c AS (SELECT doc_id, 1 AS a, 0 AS b, 0 AS h FROM g UNION ALL SELECT doc_id, 0, 1, 0 FROM p UNION ALL SELECT doc_id, 0, 0, 1 FROM (FROM g INTERSECT FROM q))
+    SELECT doc_id, CAST(sum(a) AS BIGINT) AS gold_chars, CAST(sum(b) AS BIGINT) AS pred_chars, CAST(sum(h) AS BIGINT) AS hit_chars FROM c GROUP BY doc_id""")
+def char_counts_ignoring(spark: SparkSession, d: str) -> DataFrame:
+    """Phones are out of scope: they are no gold, and what is predicted on them and close by costs nothing."""
+    _, gold, pred = scored(spark, d)
+    phone = F.col("label") == "private_phone"
+    ignored = gold.where(phone).select("doc_id", (F.col("start") - 5).alias("start"), (F.col("end") + 3).alias("end"))
+    counts = evaluate.char_counts(gold.where(~phone), pred, ignore=ignored)
+    return counts.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("gold_chars", "pred_chars", "hit_chars")])
+
+
+@query()
+def paired_f2_difference(spark: SparkSession, d: str) -> DataFrame:
+    """The predictions as they are against those of a score of 0.7 or more; sources are drawn as a whole."""
+    _, gold, pred = scored(spark, d)
+    sources = table(spark, d, "documents").select("doc_id", "source")
+    a, b = (evaluate.char_counts(gold, x).join(sources, "doc_id") for x in (pred, pred.where("score >= 0.7")))
+    return evaluate.paired_difference(a, b, unit="source")
+
+
 @query(f"""WITH f AS ({chars_sql('source')}), t AS (SELECT f2, (sum(f2) OVER () - f2) / (count(*) OVER () - 1) AS without FROM f)
     SELECT round(avg(f2), 6) AS macro, round(min(without), 6) AS least, round(max(without), 6) AS most FROM t""")
 def lodo_range(spark: SparkSession, d: str) -> DataFrame:
