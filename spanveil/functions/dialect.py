@@ -6,12 +6,58 @@ folds beyond ASCII. Java differs in \b and \s, RE2 in \s; both get what they lac
 
 from __future__ import annotations
 
+import re
+
 SPACES_JAVA = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 SPACES_RE2 = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
-BOUNDARY_JAVA = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+BOUNDARY_JAVA = "(?:(?=[A-Za-z0-9_])(?<![A-Za-z0-9_])|(?![A-Za-z0-9_])(?<=[A-Za-z0-9_]))"
+#: Halves of the boundary, enough where the pattern itself says what stands on the other side.
+OPENS_JAVA, CLOSES_JAVA = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+WORD_ITEM = r"(?:\\d|[A-Za-z0-9_]|\[(?:\\d|[A-Za-z0-9_](?:-[A-Za-z0-9_])?)+\])"
+ENDS_WORD = re.compile(r"(?:\\d|(?<!\\)[A-Za-z0-9_]|\[(?:\\d|[A-Za-z0-9_](?:-[A-Za-z0-9_])?)+\])(?:\+|\{[1-9]\d*(?:,\d*)?\})?\Z")
+ITEM, QUANTIFIER = re.compile(WORD_ITEM), re.compile(r"[?*+]|\{\d+(?:,\d*)?\}")
+
 
+def _alternatives(body: str) -> tuple[list[str], int]:
+    """The alternatives of a group whose body begins here, and where it ends."""
+    parts, began, depth, in_class, i = [], 0, 0, False, 0
+    while i < len(body):
+        c = body[i]
+        if c == "\\":
+            i += 1
+        elif in_class:
+            in_class = c != "]"
+        elif c == "[":
+            in_class = True
+        elif c == "(":
+            depth += 1
+        elif c == ")" and not depth:
+            return [*parts, body[began:i]], i + 1
+        elif c == ")":
+            depth -= 1
+        elif c == "|" and not depth:
+            parts.append(body[began:i])
+            began = i + 1
+        i += 1
+    return [*parts, body[began:]], len(body)
 
-def _translate(pattern: str, spaces: str, boundary: str, end: str) -> str:
+
+def starts_word(pattern: str) -> bool:
+    """Whether whatever the pattern matches must begin with an ASCII word character. False where that isn't plain."""
+    item = ITEM.match(pattern)
+    if item:
+        rest, sure = pattern[item.end() :], True
+    elif pattern.startswith("(?:"):
+        parts, end = _alternatives(pattern[3:])
+        rest, sure = pattern[3 + end :], all(starts_word(part) for part in parts)
+    else:
+        return False
+    many = QUANTIFIER.match(rest)
+    optional = many and (many[0] in "?*" or many[0].startswith("{0"))
+    return sure and (not optional or starts_word(rest[many.end() :]))
+
+
+def _translate(pattern: str, spaces: str, boundary: str, end: str, halves: tuple[str, str] | None = None) -> str:
     out, i, in_class = [], 0, False
     while i < len(pattern):
         c = pattern[i]
@@ -22,7 +68,12 @@ def _translate(pattern: str, spaces: str, boundary: str, end: str) -> str:
             elif pair == r"\S" and not in_class:
                 out.append(f"[^{spaces}]")
             elif pair == r"\b" and not in_class:
-                out.append(boundary)
+                if halves and starts_word(pattern[i + 2 :]):
+                    out.append(halves[0])
+                elif halves and ENDS_WORD.search(pattern[:i]):
+                    out.append(halves[1])
+                else:
+                    out.append(boundary)
             elif pair == r"\/":
                 out.append("/")
             else:
@@ -49,7 +100,7 @@ def _translate(pattern: str, spaces: str, boundary: str, end: str) -> str:
 
 def java(pattern: str, ignore_case: bool = False) -> str:
     """The pattern for Spark's regex functions."""
-    return ("(?iu)" if ignore_case else "") + _translate(pattern, SPACES_JAVA, BOUNDARY_JAVA, r"\z")
+    return ("(?iu)" if ignore_case else "") + _translate(pattern, SPACES_JAVA, BOUNDARY_JAVA, r"\z", (OPENS_JAVA, CLOSES_JAVA))
 
 
 def re2(pattern: str, ignore_case: bool = False) -> str:
@@ -58,8 +109,6 @@ def re2(pattern: str, ignore_case: bool = False) -> str:
 
 
 def re2_able(pattern: str) -> bool:
-    import re
-
     if any(x in pattern for x in ("(?<=", "(?<!", "(?=", "(?!", r"\1")):
         return False
     return all(int(n) <= 1000 for n in re.findall(r"[{,](\d+)(?=[,}])", pattern))

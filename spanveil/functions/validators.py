@@ -156,7 +156,7 @@ def base58check_value(value: str) -> bool:
 def base58(value: Column) -> Column:
     @F.pandas_udf("boolean")
     def check(values: pd.Series) -> pd.Series:
-        return values.map(base58check_value)
+        return values.map(lambda v: v is not None and base58check_value(v))
 
     return check(value)
 

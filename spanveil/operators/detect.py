@@ -17,26 +17,56 @@ VALIDATED_SCORE, OVERRIDES_AT = 0.99998, 0.9
 PARTIAL = "core:pem-private-key-partial"
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """All matches of a Java pattern as array<struct<start, end, value>> in code points."""
+#: Set around each match by one pass over the text. A noncharacter, which no text should hold.
+MARK = "\uFDD0"
+#: Stands for a mark that a text holds itself: outside every class of characters that the mark is outside of.
+STAND_IN = "\uFDD1"
+#: Lengths are summed by blocks, so that a text with very many matches isn't summed anew from its beginning for each.
+BLOCK = 256
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: an expression that a lambda names is evaluated wherever it stands.
+
+    By index, since F.get is rewritten to a test of the size and the item, which computes the array twice.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
+def _placed(parts: Column) -> Column:
+    """Matches with their places from the text cut at them: gap, match, gap, ..., match, gap."""
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+
+    def by_lengths(lengths: Column) -> Column:
+        sums = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int")), lambda b: total(F.slice(lengths, b * BLOCK + 1, BLOCK)))
+
+        def by_sums(sums: Column) -> Column:
+            def by_starts(starts: Column) -> Column:
+                def at(k: Column) -> Column:
+                    i = 2 * k + 1
+                    block = F.floor(i / BLOCK).cast("int")
+                    start = starts[block] + total(F.slice(lengths, block * BLOCK + 1, i % BLOCK))
+                    return F.struct(start.alias("start"), (start + lengths[i]).alias("end"), parts[i].alias("value"))
 
-    def placed(found: Column) -> Column:
-        gaps = F.split(text, pattern, -1)
+                return F.transform(F.sequence(F.lit(0), F.floor(F.size(lengths) / 2).cast("int") - 1), at)
 
-        def one(gap_list: Column) -> Column:
-            def at(value: Column, i: Column) -> Column:
-                before = F.aggregate(F.slice(gap_list, 1, i + 1), F.lit(0), lambda a, g: a + F.length(g)) + F.aggregate(
-                    F.slice(found, 1, i), F.lit(0), lambda a, g: a + F.length(g)
-                )
-                return F.struct(before.alias("start"), (before + F.length(value)).alias("end"), value.alias("value"))
+            return _let(F.transform(sums, lambda _, b: total(F.slice(sums, 1, b))), by_starts)
 
-            return F.transform(found, at)
+        return _let(sums, by_sums)
 
-        return F.get(F.transform(F.array(gaps), one), F.lit(0))
+    return _let(F.transform(parts, F.length), by_lengths)
 
-    kind = "array<struct<start:int,end:int,value:string>>"
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.get(F.transform(F.array(found), lambda m: F.when(F.size(m) > 0, placed(m)).otherwise(F.array().cast(kind))), F.lit(0))
+
+def _marked(text: Column, pattern: str) -> Column:
+    """The text with marks around the pattern's matches: one pass, and only a match leaves a mark."""
+    return F.regexp_replace(text, F.lit(pattern), F.lit(f"{MARK}$0{MARK}"))
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """All matches of a Java pattern as array<struct<start, end, value>> in code points. No match may be empty."""
+    found = _let(_marked(F.translate(text, MARK, STAND_IN), pattern), lambda m: F.when(m.contains(MARK), _let(F.split(m, MARK, -1), _placed)))
+    whole = F.transform(found, lambda m: m.withField("value", F.substring(text, m["start"] + 1, m["end"] - m["start"])))
+    return F.coalesce(F.when(text.contains(MARK), whole).otherwise(found), F.array().cast("array<struct<start:int,end:int,value:string>>"))
 
 
 def gate(text: Column, low: Column, recognizer: Recognizer) -> Column:
@@ -49,29 +79,26 @@ def gate(text: Column, low: Column, recognizer: Recognizer) -> Column:
     return passed
 
 
-def _named(recognizer: Recognizer):
-    def named(match: Column) -> Column:
-        return F.struct(
-            F.lit(recognizer.id).alias("recognizer"), F.lit(recognizer.label).alias("label"), F.lit(recognizer.confidence).alias("confidence"),
-            match["start"].alias("start"), match["end"].alias("end"), match["value"].alias("value"),
-        )
-
-    return named
-
-
 def raw_spans(docs: DataFrame, recognizers: Iterable[Recognizer] = PACK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, recognizer, label, confidence, start, end, value): every match, before checks and filters.
 
-    The pack is one projection and one generator over the scan: no shuffle, and only gated patterns run.
+    The pack is one projection and two generators over the scan: no shuffle, and only gated patterns run. The first
+    generator gives the text marked by each pattern, the second the places; so a pattern adds little to the plan.
     """
+    recognizers = list(recognizers)
     text, low = F.col("text"), F.col("low")
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text IS NOT NULL").withColumn("low", F.lower("text"))
-    kind = "array<struct<recognizer:string,label:string,confidence:double,start:int,end:int,value:string>>"
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
+    own = text.contains(MARK)
+    base = base.withColumns({"low": F.lower("text"), "clean": F.when(own, F.translate(text, MARK, STAND_IN)).otherwise(text), "own": F.when(own, text)})
     found = []
-    for r in recognizers:
-        named = F.transform(matches(text, r.java or java(r.pattern, r.ignore_case)), _named(r))
-        found.append(F.when(gate(text, low, r), named).otherwise(F.array().cast(kind)))
-    return base.select("doc_id", F.explode(F.concat(F.array().cast(kind), *found)).alias("m")).select("doc_id", "m.*")
+    for k, r in enumerate(recognizers):
+        found.append(F.when(gate(text, low, r), F.struct(F.lit(k).alias("k"), _marked(F.col("clean"), r.java or java(r.pattern, r.ignore_case)).alias("marked"))))
+    cuts = base.select("doc_id", "own", F.explode(F.array(*found)).alias("m")).where(F.col("m.marked").contains(MARK))
+    cuts = cuts.select("doc_id", "own", "m.k", F.split("m.marked", MARK, -1).alias("parts"))
+    kinds = F.array(*[F.struct(F.lit(r.id).alias("recognizer"), F.lit(r.label).alias("label"), F.lit(r.confidence).alias("confidence")) for r in recognizers])
+    placed = cuts.select("doc_id", "own", kinds[F.col("k")].alias("kind"), F.explode(_placed(F.col("parts"))).alias("m"))
+    value = F.when(F.col("own").isNull(), F.col("m.value")).otherwise(F.substring("own", F.col("m.start") + 1, F.col("m.end") - F.col("m.start")))
+    return placed.select("doc_id", "kind.*", "m.start", "m.end", value.alias("value"))
 
 
 def checked(spans: DataFrame, recognizers: Iterable[Recognizer] = PACK) -> DataFrame:
@@ -84,10 +111,11 @@ def checked(spans: DataFrame, recognizers: Iterable[Recognizer] = PACK) -> DataF
             passed = F.when(F.col("recognizer").isin(ids), check(F.col("value"))).otherwise(passed)
     coins = [i for i, v in names.items() if v == "base58"]
     score = F.when(F.col("recognizer").isin(list(names)), F.lit(VALIDATED_SCORE)).otherwise(F.col("confidence")) if names else F.col("confidence")
-    plain = spans.where(~F.col("recognizer").isin(coins)) if coins else spans
-    kept = plain.where(passed)
+    kept = spans.where(passed)
     if coins:
-        kept = kept.unionByName(spans.where(F.col("recognizer").isin(coins)).where(validators.base58(F.col("value"))))
+        # One branch, so that nothing is matched twice; only coins' values are anything but null in Python.
+        coin = F.col("recognizer").isin(coins)
+        kept = kept.withColumn("_coin", validators.base58(F.when(coin, F.col("value")))).where(~coin | F.col("_coin")).drop("_coin")
     return kept.withColumn("score", score)
 
 

@@ -13,13 +13,13 @@ LIMIT = 0.8
 
 def shingles(tokens: Column, size: int = SHINGLE) -> Column:
     """Distinct runs of ``size`` tokens; shorter texts have none."""
-    # The tokens are bound once: inside a lambda their expression would be evaluated for every shingle.
+    # The tokens are bound once: inside a lambda their expression would be evaluated for every shingle (and F.get would evaluate them twice).
     none = F.array().cast("array<string>")
 
     def runs(t: Column) -> Column:
         return F.when(F.size(t) >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(t) - size + 1), lambda i: F.array_join(F.slice(t, i, size), " ")))).otherwise(none)
 
-    return F.get(F.transform(F.array(tokens), runs), F.lit(0))
+    return F.transform(F.array(tokens), runs)[0]
 
 
 def leak_check(train: DataFrame, test: DataFrame, size: int = SHINGLE, limit: float = LIMIT) -> DataFrame:

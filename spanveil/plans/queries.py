@@ -12,7 +12,7 @@ from ..functions.dialect import re2
 from ..operators import chat, combine, encoded, evaluate, overlap, urls, vault, windows
 from ..operators.detect import NEVER_PII, checked, never_rule, raw_spans
 from ..operators.pack import PACK, Recognizer, chosen
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from ..streaming.restore import idle_sessions
 from .sanitize import find, round_trip, sanitize
 
@@ -63,7 +63,7 @@ def spans_sql(recognizers: list[Recognizer], source: str, key: str = "doc_id", t
 
 
 def docs_of(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text")
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
 
 
 def basic(spark: SparkSession, d: str) -> DataFrame:
@@ -506,7 +506,7 @@ TRAIN_SQL, TEST_SQL = (SHINGLES_SQL.format(key=k, n=13, word=quoted(WORD_RE2), t
     r AS (SELECT doc_id AS train_id, item_id AS test_id, shared, round(shared / (na + nb - shared), 6) AS jaccard, round(shared / na, 6) AS train_in_test, round(shared / nb, 6) AS test_in_train FROM j)
     SELECT *, greatest(jaccard, train_in_test, test_in_train) >= 0.8 AS flagged FROM r""")
 def benchmark_overlap(spark: SparkSession, d: str) -> DataFrame:
-    return overlap.leak_check(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text"))
+    return overlap.leak_check(docs_of(spark, d).withColumnRenamed("doc_id", "id"), table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text"))
 
 
 @query(f"""WITH df AS (SELECT token, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), {quoted(WORD_RE2)})) AS token FROM documents) GROUP BY token),

@@ -19,6 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a scan dealt over the cores where its files give fewer splits than there are cores.
+
+    Matching costs far more than moving a text once. A scan with splits enough, as of any large table, stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def parse_ndjson(lines: DataFrame, line_col: str = "value") -> DataFrame:
     """(other columns, text, error) of lines that hold {"text": ...}; bad JSON and a missing text become error rows.
 

@@ -91,3 +91,32 @@ def test_filters(spark):
     dates = spark.createDataFrame([(1, "private_date", 0, 10), (1, "private_date", 30, 40)], "doc_id long, label string, start int, end int")
     assert [r.start for r in filters.drop_log_stamps(dates, log).collect()] == [30]
     assert hashlib.sha256(b"").hexdigest()[:4] == "e3b0"
+
+
+def test_places_of_many_matches_and_of_texts_that_hold_the_mark(spark):
+    from pyspark.sql import functions as F
+
+    from spanveil.operators.detect import MARK, STAND_IN, matches, raw_spans
+    from spanveil.operators.pack import chosen
+
+    line = "café \U0001f600 12-3456789, "
+    many = line * 700
+    own = f"{MARK}a {STAND_IN}http://x.org/{MARK}q 12-3456789{MARK}"
+    docs = spark.createDataFrame([(1, many), (2, own), (3, ""), (4, None), (5, MARK)], "doc_id long, text string")
+    spans = raw_spans(docs, chosen("ein-us", "url")).collect()
+    texts = {1: many, 2: own}
+    assert all(texts[s.doc_id][s.start : s.end] == s.value for s in spans)
+    assert sorted(s.start for s in spans if s.doc_id == 1) == [k * len(line) + 7 for k in range(700)]
+    assert sorted(s.value for s in spans if s.doc_id == 2) == ["12-3456789", f"http://x.org/{MARK}q"]
+    found = {r.doc_id: r.m for r in docs.select("doc_id", matches(F.col("text"), r"\d{7}").alias("m")).collect()}
+    assert len(found[1]) == 700 and [m.value for m in found[2]] == ["3456789"] and found[3] == [] and found[4] == [] and found[5] == []
+
+
+def test_one_sided_boundaries_say_the_same():
+    from spanveil.functions.dialect import BOUNDARY_JAVA, java, starts_word
+
+    assert [starts_word(p) for p in (r"a", r"\d{2}", r"\d?x", r"\d?", r"(?:a|[0-9]+)", r"(?:a|-)b", r"(?:a)?-", r"[A-Z.]", r"[^a]", r"\.")] == [
+        True, True, True, False, True, False, False, False, False, False,
+    ]
+    assert BOUNDARY_JAVA not in java(r"\b\d{3}-\d{2}\b") and BOUNDARY_JAVA in java(r"\b[.a]x")
+    assert java(r"x\b") == "x(?![A-Za-z0-9_])" and java(r"a?\b") == "a?" + BOUNDARY_JAVA
