@@ -120,3 +120,20 @@ def test_one_sided_boundaries_say_the_same():
     ]
     assert BOUNDARY_JAVA not in java(r"\b\d{3}-\d{2}\b") and BOUNDARY_JAVA in java(r"\b[.a]x")
     assert java(r"x\b") == "x(?![A-Za-z0-9_])" and java(r"a?\b") == "a?" + BOUNDARY_JAVA
+
+
+def test_filters_on_what_a_recognizer_fixes_read_rows_that_no_gate_passed(spark):
+    from spanveil.operators import filters
+    from spanveil.operators.detect import checked, raw_spans
+    from spanveil.operators.pack import chosen
+
+    few = chosen("email", "ipv4", "btc-legacy-1")
+    docs = spark.createDataFrame([(1, "mail a.b@mail.com at 8.8.4.4"), (2, "nothing"), (3, "only 8.8.8.8"), (4, None)], "doc_id long, text string")
+    spans = filters.above_cut(filters.enabled(checked(raw_spans(docs, few), few))).select("doc_id", "label", "value")
+    # As for the whole pack, whose code is too large for one method: what two conditions share is computed before either.
+    spark.conf.set("spark.sql.codegen.wholeStage", "false")
+    try:
+        found = spans.collect()
+    finally:
+        spark.conf.unset("spark.sql.codegen.wholeStage")
+    assert sorted(map(tuple, found)) == [(1, "private_email", "a.b@mail.com"), (1, "private_ip", "8.8.4.4"), (3, "private_ip", "8.8.8.8")]
