@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import sys
-import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_dir, written  # noqa: F401
+
 #: Executors need not have this package installed: its functions travel with the job.
 cloudpickle.register_pickle_by_value(sys.modules[__package__])
 
@@ -17,25 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is absent a local one is set, if all runs on one machine, as in tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        where = "/tmp/spanveil-shared"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a table of the shared folder that nothing reads any more."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -8,10 +8,11 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import escape_placeholders, remap, unescape_placeholders, with_normalised
+from ..functions.text import escape_placeholders, remap, with_normalised
 from ..operators import combine, encoded, filters, urls, vault, windows
 from ..operators.detect import detect
 from ..operators.pack import PACK, Recognizer
+from ..sources.tables import written
 
 SPAN = ["doc_id", "label", "start", "end", "score", "value"]
 
@@ -49,20 +50,24 @@ def find(docs: DataFrame, recognizers: Iterable[Recognizer] = PACK, model_spans:
         found = found.unionByName(model_spans.join(texts, "doc_id").withColumn("value", F.expr("substring(text, start + 1, end - start)")).select(*SPAN))
     found = filters.above_cut(filters.enabled(found, disabled), cuts)
     found = filters.drop_log_stamps(filters.drop_in_digests(found, texts), texts)
-    # Spans are few beside their texts and read by several branches from here on: held, spilling to disk, instead of
-    # being detected again for each. A lost part is computed anew from the texts.
+    # Spans are few beside their texts and read by several branches from here on: held, spilling to disk, until the
+    # result is written, instead of being detected again for each. A lost part is computed anew from the texts.
     found = found.persist(StorageLevel.MEMORY_AND_DISK)
     found = urls.release_clean(found, urls.policy(hosts))
     merged = combine.dedupe(found, across_labels=True)
     merged = combine.join_addresses(combine.refine(merged, texts), texts)
-    merged = combine.merge(merged)
+    # Written, so that the plans of what reads the spans don't hold the whole pack over and over; only their places are, and
+    # the values come from the texts again.
+    merged = written(combine.merge(merged), "spans")
+    found.unpersist()
     return merged.join(texts, "doc_id").withColumn("value", F.expr("substring(text, start + 1, end - start)")).select(*SPAN)
 
 
 def sanitize(docs: DataFrame, spans: DataFrame, salt: str = "") -> tuple[DataFrame, DataFrame]:
     """Masked texts (session_id, seq, text, masked) and the vault. ``docs``: session_id, seq, doc_id, text.
 
-    Literal double braces are escaped while texts are masked and stand as they were in what comes out, values too.
+    Spans are found with literal double braces escaped. An escape keeps the length, so the texts themselves are cut at the
+    places: braces and the escape's own characters stand as they were in what comes out, values too.
     Values that an earlier text of the session masked are masked wherever they stand as whole words.
     """
     texts = docs.withColumn("text", escape_placeholders(F.col("text")))
@@ -74,14 +79,12 @@ def sanitize(docs: DataFrame, spans: DataFrame, salt: str = "") -> tuple[DataFra
     known = vault.known_values(later, earlier).join(rows, ["session_id", "seq"])
     both = combine.merge(spans.select(*SPAN).drop("value").unionByName(known.select(*SPAN).drop("value")))
     value = F.expr("substring(text, start + 1, end - start)")
-    placed = both.join(texts.select("session_id", "seq", "doc_id", "text"), "doc_id").withColumn("value", value).drop("text").persist(StorageLevel.MEMORY_AND_DISK)
+    placed = both.join(docs.select("session_id", "seq", "doc_id", "text"), "doc_id").withColumn("value", value).drop("text").persist(StorageLevel.MEMORY_AND_DISK)
     entries = vault.allocate(placed, salt=salt)
-    masked = vault.mask(texts, placed, entries)
-    plain = {c: unescape_placeholders(F.col(c)) for c in ("text", "masked")}
-    return masked.withColumns(plain), entries.withColumn("value", unescape_placeholders(F.col("value")))
+    return vault.mask(docs, placed, entries), entries
 
 
 def round_trip(masked: DataFrame, entries: DataFrame, salt: str = "") -> DataFrame:
-    """Texts that restoring doesn't give back: none."""
+    """Texts that restoring doesn't give back, lost ones too: none."""
     back = vault.restore(masked, entries, salt=salt)
-    return masked.join(back, ["session_id", "seq"]).where(unescape_placeholders(F.col("restored")) != F.col("text"))
+    return masked.join(back, ["session_id", "seq"], "left").where(~F.col("restored").eqNullSafe(F.col("text")))
