@@ -30,6 +30,8 @@ WORDS_KEPT, SETS_KEPT = 1_000_000, 1_000_000
 SKETCH_BITS, BLOCK = 2, 4096
 #: Each component of an entry proposes its nearest pair, and in each further round so many times more pairs.
 GROWTH = 32
+#: Bytes that an index entry has at least.
+ENTRY_BYTES = 5
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -122,6 +124,14 @@ def index_entries(found: np.ndarray, band: int, segments: int, tolerance: int, s
     return entries.view(np.int64)
 
 
+def entry_bytes(entries: int) -> int:
+    """Bytes of an index entry, among so many: unlike ones are equal by chance for at most one in 256.
+
+    What meets by chance is verified as all else, and no entry that two sets share is lost: fewer bytes only move less.
+    """
+    return min(7, max(ENTRY_BYTES, -(-(entries.bit_length() + 8) // 8)))
+
+
 def _measure(shingle: int):
     """Per document its size and its set's digests; the set's sketch comes with the first document of a task that has it."""
 
@@ -147,13 +157,15 @@ def _measure(shingle: int):
     return run
 
 
-def _index(tops: list[int], plans: list[tuple[int, int, int]], shingle: int, renamed: dict[tuple[int, int], int]):
+def _index(tops: list[int], plans: list[tuple[int, int, int]], shingle: int, renamed: dict[tuple[int, int], int], width: int):
+    kept = np.int64((1 << 8 * width) - 1)
+
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, done = _WordHash(), set()
 
         def batch_of(entries: list[np.ndarray], names: list[int]) -> pa.RecordBatch:
             cls = np.repeat(np.array(names, np.int64), [len(e) for e in entries])
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(entries)), pa.array(cls)], ["entry", "cls"])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(entries) & kept), pa.array(cls)], ["entry", "cls"])
 
         for batch in batches:
             entries, names, held = [], [], 0
@@ -448,7 +460,8 @@ def similarity_classes(
         band = F.when(F.col("n_shingles") > top, k + 1).otherwise(band)
     held = {r["band"]: r["docs"] for r in sizes.groupBy(band.alias("band")).agg(F.sum("count").alias("docs")).collect()}
     plans = [allocation(top, held.get(k, 0) + held.get(k + 1, 0), percent) for k, top in enumerate(tops)]
-    entries = base.select("text").mapInArrow(_index(tops, plans, shingle, renamed), "entry bigint, cls bigint")
+    most = sum((held.get(k, 0) + held.get(k + 1, 0)) * (segments + tolerance * tops[k]) for k, (segments, tolerance, _) in enumerate(plans))
+    entries = base.select("text").mapInArrow(_index(tops, plans, shingle, renamed, entry_bytes(most)), "entry bigint, cls bigint")
     groups = written(
         entries.repartition("entry").sortWithinPartitions("entry", "cls").mapInArrow(_groups, "entry bigint, cls bigint, rank bigint, hub bigint"),
         "groups",

@@ -332,6 +332,28 @@ def test_ngram_join_of_sets_that_share_a_name(spark, monkeypatch):
     assert got == brute_components(rows, 90, 3)
 
 
+@pytest.mark.parametrize("width", [1, 5])
+def test_ngram_join_of_entries_of_few_bytes(spark, monkeypatch, width):
+    """Entries move as few bytes as tell most of them apart; what meets by chance, as nearly all of one byte, is verified."""
+    assert [ngram_join.entry_bytes(n) for n in (0, 2**32 - 1, 2**32, 2**41)] == [5, 5, 6, 7]
+    monkeypatch.setattr(ngram_join, "entry_bytes", lambda n: width)
+    write, seen = ngram_join.written, {}
+
+    def spy(df, label):
+        out = write(df, label)
+        seen.setdefault(label, out)
+        return out
+
+    monkeypatch.setattr(ngram_join, "written", spy)
+    rng, rows = np.random.default_rng(8), []
+    for family in range(8):
+        base = rng.choice(WORDS, 60).tolist()
+        rows += [(family * 4 + k, " ".join([*base, *(f"x{family}{j}" for j in range(k))])) for k in range(4)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_jaccard_join(documents(spark, rows)).collect()}
+    assert got == brute_components(rows, 90, 3)
+    assert 0 < seen["groups"].count() == seen["groups"].where(f"entry BETWEEN 0 AND {2 ** (8 * width) - 1}").count()
+
+
 def test_near_pairs_grow_with_the_members():
     """Every two of these sets may be similar, yet no component proposes more than its share of pairs."""
     rng = np.random.default_rng(7)
