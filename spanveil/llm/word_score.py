@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -12,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, written
+from .common import id_and_text, shared_dir, written
 
 #: Tokens are lower-case words and single other visible characters; an end mark closes a text. No token looks like a mark.
 WORD = re.compile(r"\w+|[^\w\s]")
@@ -68,6 +69,18 @@ def _pack(kind: pa.DataType):
     return pack
 
 
+def _bucketed(blocks: DataFrame) -> DataFrame:
+    """Blocks written to the shared folder in buckets by their number: what is joined to them moves, they never do.
+
+    The table's name is dropped once its files are known; the files stay like those of other written tables.
+    """
+    spark, name = blocks.sparkSession, f"word_blocks_{uuid.uuid4().hex}"
+    blocks.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    held = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return held
+
+
 def _bigrams(words: np.ndarray, tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The key of each token's bigram, and the place of its history; a text's first history is as frequent as the end mark."""
     history = np.concatenate([[0], tokens[:-1]])
@@ -85,7 +98,10 @@ def _ordered(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _requests(buckets: int):
-    """Per block and bucket: its distinct words (kind 0) and bigrams (kind 1) with their counts in all texts and in the target's."""
+    """Per block and bucket: its distinct words (kind 0) and bigrams (kind 1) with their counts in all texts and in the target's.
+
+    Keys of a bucket leave the same remainder, so their quotients tell them apart.
+    """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,7 +115,7 @@ def _requests(buckets: int):
                     general, target = np.bincount(at, minlength=len(keys)), np.bincount(at[wanted], minlength=len(keys))
                     order, bounds = _ordered(keys, buckets)
                     cells = [
-                        (b, row["block"], kind, _squeeze(np.diff(keys[o], prepend=np.uint64(0))), _squeeze(general[o]), _squeeze(target[o]))
+                        (b, row["block"], kind, _squeeze(np.diff(keys[o] // np.uint64(buckets), prepend=np.uint64(0))), _squeeze(general[o]), _squeeze(target[o]))
                         for b in range(buckets) if len(o := order[bounds[b] : bounds[b + 1]])
                     ]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*cells), (pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 3))], ["bucket", "block", "kind", "keys", "n", "t"])
@@ -170,7 +186,7 @@ def word_cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, prior:
     base = id_and_text(docs, id_col, text_col)
     named = base.schema["doc_id"].dataType
     kind, sql = to_arrow_type(named), named.simpleString()
-    blocks = written(base.mapInArrow(_pack(kind), f"block bigint, ids array<{sql}>, sizes array<int>, words binary, tokens binary"), "blocks")
+    blocks = _bucketed(base.mapInArrow(_pack(kind), f"block bigint, ids array<{sql}>, sizes array<int>, words binary, tokens binary"))
     tokens = blocks.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     buckets = max(64, 2 * -(-tokens // BLOCK))
     wanted = target_ids.toDF("wanted").where("wanted IS NOT NULL").distinct()

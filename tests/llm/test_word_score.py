@@ -44,3 +44,22 @@ def test_registered_query_learns_word_order(spark, tmp_path):
     docs, target = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i,) for i in range(3)], "x long")
     letters = {r.doc_id: r.score for r in lm_score.cross_entropy_difference(docs, target).collect()}
     assert abs(letters[3] - letters[7]) < 0.1
+
+
+def test_blocks_of_tokens_never_move(spark, monkeypatch):
+    """Marks of the target and whole counts go to the blocks; no shuffle holds the blocks' tokens."""
+    plans, write = [], word_score.written
+
+    def explained(df):
+        return spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+
+    def spy(df, label):
+        plans.append(explained(df))
+        return write(df, label)
+
+    monkeypatch.setattr(word_score, "written", spy)
+    docs, target = spark.createDataFrame(ROWS, "doc_id long, text string"), spark.createDataFrame([(1,)], "x long")
+    result = word_score.word_cross_entropy_difference(docs, target)
+    moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", "\n".join([*plans, explained(result)]))
+    assert moved and not [columns for columns in moved if "tokens#" in columns]
+    assert result.count() == len(ROWS) and not [t for t in spark.catalog.listTables() if t.name.startswith("word_blocks")]
