@@ -72,3 +72,16 @@ def test_word_windows(spark):
     got = [(r.doc_id, r.window, r.n_words) for r in windows.word_windows(rows).orderBy("doc_id", "window").collect()]
     assert got == [(1, 0, 140), (1, 1, 140), (1, 2, 80), (4, 0, 1)]
     assert unicodedata.normalize("NFKC", "ﬁ") == "fi"
+
+
+def test_normalised_texts_are_handed_over_in_small_pieces():
+    import pyarrow as pa
+
+    texts = ["é" * 700_000, None, "%41nna", "", "ﬁ" * 600_000, "x1 2"]
+    pieces = list(T.normalised_arrays(iter([pa.array(texts)])))
+    assert [len(p) for p in pieces] == [5, 1]
+    rows = [r for p in pieces for r in p.to_pylist()]
+    want = [{"normalised": None, "origin": None} if t is None else dict(zip(("normalised", "origin"), T.normalise(t))) for t in texts]
+    assert rows == want
+    # Four bytes a place, not a Python number.
+    assert sum(p.nbytes for p in pieces) < 6 * sum(len(r["origin"] or ()) for r in rows)
