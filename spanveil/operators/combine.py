@@ -72,10 +72,12 @@ def refine(spans: DataFrame, texts: DataFrame) -> DataFrame:
 def join_addresses(spans: DataFrame, texts: DataFrame, label: str = "private_address") -> DataFrame:
     """Neighbouring address spans with at most three separators between them become one; the score is the highest."""
     w = W.partitionBy("doc_id").orderBy("start", "end")
-    rows = spans.join(texts.select("doc_id", "text"), "doc_id").withColumn("_end", F.lag("end").over(w)).withColumn("_label", F.lag("label").over(w))
-    gap = F.expr("substring(text, _end + 1, start - _end)")
-    joins = (F.col("label") == label) & (F.col("_label") == label) & (F.col("start") >= F.col("_end")) & gap.rlike(ADDRESS_GAP)
-    rows = rows.withColumn("_run", F.sum(F.when(joins, 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    # The windows see spans alone; a text stands beside them only while the gap is cut out of it.
+    rows = spans.withColumn("_end", F.lag("end").over(w)).withColumn("_label", F.lag("label").over(w))
+    near = (F.col("label") == label) & (F.col("_label") == label) & (F.col("start") >= F.col("_end"))
+    gap = F.when(near, F.expr("substring(text, _end + 1, start - _end)")).rlike(ADDRESS_GAP)
+    rows = rows.join(texts.select("doc_id", "text"), "doc_id").withColumn("_new", F.when(near & gap, 0).otherwise(1)).drop("text", "_end", "_label")
+    rows = rows.withColumn("_run", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
     return rows.groupBy("doc_id", "_run").agg(F.first("label").alias("label"), F.min("start").alias("start"), F.max("end").alias("end"), F.max("score").alias("score")).drop("_run")
 
 

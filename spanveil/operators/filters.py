@@ -24,7 +24,7 @@ PRODUCT_NAMES = r"(?i)^\W*claude(?:[ -](?:code|desktop|api|agent(?: sdk)?|opus|s
 DIGEST = r"\b(?:sha1|sha256|sha384|sha512)-[A-Za-z0-9+/]{20,}={0,2}"
 LEVELS = "TRACE|DEBUG|INFO|NOTICE|WARN|WARNING|ERROR|ERR|FATAL|CRITICAL"
 CLOCK, ZONE = r"\d{2}:\d{2}:\d{2}(?:[.,]\d+)?", r"(?:Z|[+-]\d{2}:?\d{2})?"
-STAMP = rf"(?m)(?<=^[ \t]{{0,64}}\[?)\d{{4}}-\d{{2}}-\d{{2}}(?: {CLOCK}|T{CLOCK}|T\d{{2}}:\d{{2}}){ZONE}(?=\]?[^\n]{{0,24}}?\b(?:{LEVELS})\b)"
+STAMP = rf"(?m)(?=\d{{4}}-\d{{2}}-\d{{2}}[ T])(?<=^[ \t]{{0,64}}\[?)\d{{4}}-\d{{2}}-\d{{2}}(?: {CLOCK}|T{CLOCK}|T\d{{2}}:\d{{2}}){ZONE}(?=\]?[^\n]{{0,24}}?\b(?:{LEVELS})\b)"
 
 
 def enabled(spans: DataFrame, disabled: list[str] = DISABLED) -> DataFrame:

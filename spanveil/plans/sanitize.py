@@ -8,7 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import escape_placeholders, remap, with_normalised
+from ..functions.text import escape_placeholders, with_normalised
 from ..operators import combine, encoded, filters, urls, vault, windows
 from ..operators.detect import detect
 from ..operators.pack import PACK, Recognizer
@@ -40,10 +40,9 @@ def find(docs: DataFrame, recognizers: Iterable[Recognizer] = PACK, model_spans:
     parts = parts.drop("upto")
     found = detect(parts, recognizers, model).select(*SPAN).unionByName(encoded.base64_spans(parts).select(*SPAN))
     if normalise:
-        changed = with_normalised(parts).where("origin IS NOT NULL")
-        again = detect(changed.select("doc_id", F.col("normalised").alias("text")), recognizers).select(*SPAN).join(changed.select("doc_id", "origin", "text"), "doc_id")
-        moved = again.withColumn("start", remap(F.col("start"), F.col("origin")).cast("int")).withColumn("end", remap(F.col("end"), F.col("origin")).cast("int"))
-        found = found.unionByName(moved.withColumn("value", F.expr("substring(text, start + 1, end - start)")).select(*SPAN))
+        changed = with_normalised(parts).where("origin IS NOT NULL").select("doc_id", F.col("normalised").alias("text"), "origin", F.col("text").alias("before"))
+        again = detect(changed, recognizers, changed=True)
+        found = found.unionByName(again.select("doc_id", "label", *[F.col(f"before_{x}").alias(x) for x in ("start", "end")], "score", F.col("before_value").alias("value")))
     at = F.col("doc_id.at")
     found = found.select(F.col("doc_id.id").alias("doc_id"), "label", (F.col("start") + at).alias("start"), (F.col("end") + at).alias("end"), "score", "value")
     if model_spans is not None:
