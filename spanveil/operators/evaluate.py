@@ -228,9 +228,15 @@ def paired_difference(a: DataFrame, b: DataFrame, resamples: int = 1000, seed: i
 def failures(gold: DataFrame, predicted: DataFrame, top: int = 20) -> DataFrame:
     """The most frequent surface forms (kind, label, value, n, rank) of missed and of wrong spans, ties by form."""
     key = ["doc_id", "label", "start", "end"]
-    missed = gold.join(predicted.select(*key), key, "left_anti").withColumn("kind", F.lit("missed"))
-    wrong = predicted.join(gold.select(*key), key, "left_anti").withColumn("kind", F.lit("wrong"))
-    counts = missed.select("kind", "label", "value").unionByName(wrong.select("kind", "label", "value")).groupBy("kind", "label", "value").agg(F.count("*").alias("n"))
+    # Both sides meet once, each read once. A null in a key equals nothing.
+    sides = [x.select(*key, "value", F.lit(kind).alias("kind")) for x, kind in ((gold, "missed"), (predicted, "wrong"))]
+    rows = sides[0].unionByName(sides[1]).groupBy(*key, "value", "kind").agg(F.count("*").alias("n"))
+    w = W.partitionBy(*key)
+    whole = F.lit(True)
+    for k in key:
+        whole = whole & F.col(k).isNotNull()
+    rows = rows.withColumn("_both", whole & (F.min("kind").over(w) != F.max("kind").over(w)))
+    counts = rows.where(~F.col("_both")).groupBy("kind", "label", "value").agg(F.sum("n").alias("n"))
     ranked = counts.withColumn("rank", F.row_number().over(W.partitionBy("kind").orderBy(F.col("n").desc(), "label", "value")))
     return ranked.where(F.col("rank") <= top)
 
